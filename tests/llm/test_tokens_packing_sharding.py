@@ -19,8 +19,11 @@ from .conftest import texts
 FILES = [public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")]
 
 
+LIBRARY = {p: Tokenizer.from_file(p) for p in FILES}
+
+
 def whole(path: str, text: str | None) -> bytes:
-    ids = Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    ids = LIBRARY[path].encode(text or "", add_special_tokens=False).ids
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
@@ -30,9 +33,6 @@ def test_cached_encoding_is_that_of_the_whole_text(path):
         assert encoder(path).encode(text) == whole(path, text), text
 
 
-LIBRARY = {p: Tokenizer.from_file(p) for p in FILES}
-
-
 @pytest.mark.parametrize("path", FILES)
 @settings(max_examples=300, deadline=None)
 @given(text=st.text(st.sampled_from("abE.,'s \n\t\r\x1c éß1中😀́İΣ"), max_size=30))
