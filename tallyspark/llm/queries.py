@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, simhash, token_output
+from . import licenses, packing, quality, sharding, simhash, token_output, topk
 from .scratch import Scratch
 
 
@@ -23,6 +23,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k_inner(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_duplicates(_table(spark, sf_dir, "documents"), distance=2)
 
@@ -35,7 +44,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op6_simhash, op8_best_fit_packing, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_top_k, op5_license_scan, op6_simhash, op8_best_fit_packing, op9_sharding)}
 
 #: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op3_top_k": topk.ORACLE, "op5_license_scan": licenses.ORACLE}
