@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality, sharding, simhash, token_output, topk
+from . import licenses, packing, phrases, quality, sharding, simhash, token_output, topk
 from .scratch import Scratch
 
 
@@ -36,6 +36,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_duplicates(_table(spark, sf_dir, "documents"), distance=2)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.dedup_passages(_table(spark, sf_dir, "documents"), width=13)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, limit=2048)
 
@@ -44,7 +48,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_top_k, op5_license_scan, op6_simhash, op8_best_fit_packing, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_top_k, op5_license_scan, op6_simhash, op7_substring_dedup, op8_best_fit_packing, op9_sharding)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op3_top_k": topk.ORACLE, "op5_license_scan": licenses.ORACLE}
