@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, phrases, quality, sharding, simhash, token_output, topk
+from . import licenses, packing, phrases, quality, sharding, simhash, substrings, token_output, topk
 from .scratch import Scratch
 
 
@@ -28,6 +28,10 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_inner(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(_table(spark, sf_dir, "documents"), length=200)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_top_k, op5_license_scan, op6_simhash, op7_substring_dedup, op8_best_fit_packing, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_top_k, op4_suffix_array_dedup, op5_license_scan, op6_simhash, op7_substring_dedup, op8_best_fit_packing, op9_sharding)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op3_top_k": topk.ORACLE, "op5_license_scan": licenses.ORACLE}
