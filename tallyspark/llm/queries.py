@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, phrases, quality, sharding, simhash, substrings, token_output, topk
+from . import licenses, packing, phrases, quality, sampling, sharding, simhash, substrings, token_output, topk
 from .scratch import Scratch
 
 
@@ -52,7 +52,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_top_k, op4_suffix_array_dedup, op5_license_scan, op6_simhash, op7_substring_dedup, op8_best_fit_packing, op9_sharding)}
+def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_segmentations(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2, alpha=1.0, seed=0)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_top_k, op4_suffix_array_dedup, op5_license_scan, op6_simhash, op7_substring_dedup, op8_best_fit_packing, op9_sharding, op10_sentencepiece_sampling)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op3_top_k": topk.ORACLE, "op5_license_scan": licenses.ORACLE}
