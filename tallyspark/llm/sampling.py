@@ -291,12 +291,12 @@ def sample_batch(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int)
             node = int(lattice.source[p.edge[at]])
             others = [e for e in range(lattice.first[node], lattice.first[node] + lattice.count[node]) if e not in taken]
             share = np.cumsum(np.exp(lattice.logp[others] - lattice.logp[others].max()))
-            seed = seeds[i : i + 1] ^ mix(np.array([sample + 1 << 40 | at], dtype=np.uint64))
+            a = int(np.searchsorted(p.text, i))
+            seed = seeds[i : i + 1] ^ mix(np.array([sample + 1 << 40 | at - a], dtype=np.uint64))
             pick = others[min(int(np.searchsorted(share, uniform(seed)[0] * share[-1], side="right")), len(others) - 1)]
             taken.append(pick)
             mass = np.array([p.before[at] + _mass_left(lattice, taken)])
             p.value[at] = _truncated(mass, bound[i : i + 1], uniform(mix(seed)))[0]
-            a = int(np.searchsorted(p.text, i))
             kept_text.append(np.full(at - a + 1, i))
             kept_word.append(p.word[a : at + 1])
             kept_edge.append(np.append(p.edge[a:at], pick))
