@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .packed import mix
 from .scratch import small_batches
 
-#: Scores at or below this mark pieces that the model never merges to.
+#: Scores at or below this mark pieces that the model never merges to; one character needs no merge.
 NEVER = -1e8
 GAP = "▁"
 
@@ -46,9 +46,10 @@ class Vocabulary:
     def __init__(self, path: str, alpha: float):
         self.model = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
-        plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and sp.get_score(i) > NEVER]
+        plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+        plain = [i for i in plain if sp.get_score(i) > NEVER or len(sp.id_to_piece(i)) == 1]
         plain = [i for i in plain if GAP not in sp.id_to_piece(i)[1:]]
-        ranks = np.array([-sp.get_score(i) for i in plain])
+        ranks = np.array([min(-sp.get_score(i), size) for i in plain])
         norm = math.log(sum(1 / (r + 2.7) for r in range(size)))
         self.worst = alpha * (-math.log(size + 2.7) - norm)
         nodes: dict[tuple[int, int], int] = {}

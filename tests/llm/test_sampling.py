@@ -20,7 +20,7 @@ def every(vocab, text):
     normal = sp.normalize(text)
     size = sp.get_piece_size()
     norm = math.log(sum(1 / (r + 2.7) for r in range(size)))
-    usable = lambda p: (i := sp.piece_to_id(p)) and not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i)) and sp.get_score(i) > sampling.NEVER and "▁" not in p[1:]
+    usable = lambda p: (i := sp.piece_to_id(p)) and not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i)) and (sp.get_score(i) > sampling.NEVER or len(p) == 1) and "▁" not in p[1:]
     out = {}
 
     def go(at, ids, weight):
@@ -30,7 +30,7 @@ def every(vocab, text):
         for end in range(at + 1, len(normal) + 1):
             if usable(normal[at:end]):
                 i = sp.piece_to_id(normal[at:end])
-                go(end, [*ids, i], weight - math.log(-sp.get_score(i) + 2.7) - norm)
+                go(end, [*ids, i], weight - math.log(min(-sp.get_score(i), size) + 2.7) - norm)
         if not usable(normal[at]):
             data = normal[at].encode()
             go(at + 1, [*ids, *(sp.piece_to_id(f"<0x{b:02X}>") for b in data)], weight + len(data) * vocab.worst)
