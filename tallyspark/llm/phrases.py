@@ -50,8 +50,8 @@ def phrases(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def chosen(marks: np.ndarray, among: int) -> np.ndarray:
-    """Positions of the least mark, by hash and then place, of every ``among`` marks in a row."""
+def least_of_each(marks: np.ndarray, among: int) -> np.ndarray:
+    """For every ``among`` marks in a row the position of the least, by hash and then place."""
     n = len(marks)
     if n < among:
         return np.zeros(0, np.int64)
@@ -62,7 +62,12 @@ def chosen(marks: np.ndarray, among: int) -> np.ndarray:
         span *= 2
     if span < among:
         low = np.minimum(low[: n - among + 1], low[among - span : among - span + n - among + 1])
-    return np.unique(low & np.uint64(0xFFFFFFF)).astype(np.int64)
+    return (low & np.uint64(0xFFFFFFF)).astype(np.int64)
+
+
+def chosen(marks: np.ndarray, among: int) -> np.ndarray:
+    """The distinct positions among them."""
+    return np.unique(least_of_each(marks, among))
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -1,13 +1,13 @@
 """Suffix-array dedup of byte strings that occur twice.
 
-Every string of ``length`` bytes holds an anchor, a short gram chosen by its bytes alone, so that equal
-strings hold the same anchor at the same place. Anchors that occur once are done with (``packed``). The
-others are known by their context, the bytes within reach of any string that holds them. Where all
-contexts of an anchor are alike, all their strings are repeated. The differing contexts of an anchor go
-to one shard, a suffix array is induced over the shard's contexts, and runs of suffixes whose permuted
-common prefixes reach ``length`` are the repeated strings; a run counts if it holds two places of the
-corpus. An anchor of very many contexts is dealt over shards, and what a shard leaves open of it, strings
-found at one place there, is settled over all shards by the strings' 128-bit hashes.
+Every string of ``length`` bytes has an anchor, the least of its short grams by a hash, so that equal
+strings have the same anchor at the same place. Anchors that occur once are done with (``packed``). The
+others are known by their context, the bytes of all strings that have them. Where all contexts of an
+anchor are alike, all their strings are repeated. The differing contexts of an anchor go to one shard, a
+suffix array is induced over the shard's contexts, and runs of suffixes whose permuted common prefixes
+reach ``length`` are the repeated strings; a run counts if it holds two places of the corpus. No shard
+could hold the contexts of an anchor that has very many (those of a passage which a third of all documents
+share); these are settled over all tasks by 128-bit hashes of their strings, of stretches of strings first.
 """
 
 from __future__ import annotations
@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import mix, repeated_marks, shards_for
-from .phrases import chosen
+from .phrases import least_of_each
 from .scratch import Scratch, row_key, small_batches
 from .suffixes import permuted_common_prefixes, suffix_array
 
 #: Bytes of a gram.
 GRAM = 32
-#: Contexts of one anchor beyond which it is dealt over shards, and contexts for each shard.
-HOT, SHARD_CONTEXTS = 128, 5000
+#: Different contexts of one anchor beyond which no shard takes it, and contexts for each shard.
+HOT, SHARD_CONTEXTS = 32, 5000
+#: Strings that start one after another and are first looked at as one stretch.
+STRETCH = 16
 #: Bytes looked at together; texts are gone through in such blocks, so memory does not follow their length.
 BLOCK = 4 << 20
 
@@ -42,19 +44,20 @@ def grams(text: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the anchors of ``text``: at least one in every ``length`` bytes."""
-    if len(text) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    places, values = [], []
-    raw = np.frombuffer(text, np.uint8)
-    for a in range(0, len(raw) - length + 1, BLOCK):
+def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of ``text``: places, values, and the first and last start of the strings that have them."""
+    n = len(text) - length + 1
+    if n < 1:
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    raw, places, values = np.frombuffer(text, np.uint8), [], []
+    for a in range(0, n, BLOCK):
         value = grams(raw[a : a + BLOCK + length - 1])
-        at = chosen(value, length - GRAM + 1)
+        at = least_of_each(value, length - GRAM + 1)
         places.append(at + a)
         values.append(value[at])
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return at, np.concatenate(values)[first]
+    place, value = np.concatenate(places), np.concatenate(values)
+    first = np.nonzero(np.append(True, place[1:] != place[:-1]))[0]
+    return place[first], value[first], first, np.append(first[1:], n) - 1
 
 
 def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -63,11 +66,10 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.nonzero(edge == 1)[0].tolist(), (np.nonzero(edge == -1)[0] - 1).tolist()))
 
 
-def repeated_in_shard(contexts: list[bytes], places: list[int], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def repeated_in_shard(contexts: list[bytes], places: list[int], length: int) -> list[np.ndarray]:
     """For each context, which of its strings of ``length`` bytes stand at two places or more in the shard.
 
-    ``places`` numbers the place of each context's first byte in the corpus. With the flags come numbers
-    that equal strings of the shard have in common.
+    ``places`` numbers the place of each context's first byte in the corpus.
     """
     parts = []
     for c in contexts:
@@ -84,12 +86,8 @@ def repeated_in_shard(contexts: list[bytes], places: list[int], length: int) ->
     inside = place[sa]
     many = np.minimum.reduceat(inside, first) != np.maximum.reduceat(inside, first)
     found = np.zeros(len(t), dtype=bool)
-    number = np.empty(len(t), dtype=np.int64)
-    run = np.diff(np.append(first, len(sa)))
-    found[sa] = np.repeat(many, run)
-    number[sa] = np.repeat(np.arange(len(first)), run)
-    ends = [s + max(0, n - length + 1) for s, n in zip(starts.tolist(), sizes.tolist())]
-    return [(found[s:e], number[s:e]) for s, e in zip(starts.tolist(), ends)]
+    found[sa] = np.repeat(many, np.diff(np.append(first, len(sa))))
+    return [found[s : s + max(0, n - length + 1)] for s, n in zip(starts.tolist(), sizes.tolist())]
 
 
 def _place(key_id: int, key_hash: int, at: int) -> int:
@@ -109,7 +107,6 @@ def _find(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Dat
     scratch = Scratch(spark, "substrings")
     shards = shards_for(docs, text_col)
     keyed = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    reach = length - GRAM
     key = ["key_id", "key_hash"]
     repeated = repeated_marks(keyed.select(*key, "text"), lambda text: anchors(text, length)[1], shards, scratch)
 
@@ -121,11 +118,11 @@ def _find(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Dat
                 if marks is None:
                     rows.append((doc_id, key_id, key_hash, len(text), hashlib.sha256(text).hexdigest(), None, None))
                     continue
-                at, value = anchors(text, length)
+                at, value, first, last = anchors(text, length)
                 known = np.isin(value, np.frombuffer(b"".join(marks), "<u8"))
                 found = []
-                for p, v in zip(at[known].tolist(), value[known].view(np.int64).tolist()):
-                    left, right = min(p, reach), min(len(text) - p, length)
+                for p, v, a, b in zip(at[known].tolist(), value[known].view(np.int64).tolist(), first[known].tolist(), last[known].tolist()):
+                    left, right = p - a, b + length - p
                     context = xxhash.xxh64_intdigest(text[p - left : p + right], left)
                     found.append({"anchor": v, "context": context - (context >> 63 << 64), "at": p, "left": left, "right": right})
                 rows.append((doc_id, key_id, key_hash, len(text), None, text, found))
@@ -142,7 +139,7 @@ def _find(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Dat
     numbers = contexts.groupBy("anchor").agg(F.count("*").alias("n_contexts"))
     known = scratch.write(contexts.join(numbers, "anchor").select("anchor", "context", "n", "n_contexts", "one.*"), "known")
     # Contexts at two places are repeated whole. The bounds are string starts, relative to the anchor.
-    whole = known.filter((F.col("n") > 1) & (F.col("left") + F.col("right") >= length)).select("anchor", "context", F.array(F.struct((-F.col("left")).alias("from"), (F.col("right") - length).alias("to"))).alias("spans"))
+    whole = known.filter("n > 1").select("anchor", "context", F.array(F.struct((-F.col("left")).alias("from"), (F.col("right") - length).alias("to"))).alias("spans"))
     unlike = known.filter("n_contexts > 1")
     ranges = whole
     n_unlike = unlike.count()
@@ -155,7 +152,7 @@ def _find(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Dat
 
 
 def _unlike_contexts(pending: DataFrame, unlike: DataFrame, n: int, length: int, scratch: Scratch) -> DataFrame:
-    """``anchor, context, spans`` by suffix arrays over the shards of contexts that differ from another."""
+    """``anchor, context, spans`` of contexts that differ from another of their anchor."""
     key = ["key_id", "key_hash"]
     shards = max(24, -(-n // SHARD_CONTEXTS))
     wanted = unlike.groupBy(*key).agg(F.collect_list(F.struct("anchor", "context", "n", "n_contexts", "at", "left", "right")).alias("wanted"))
@@ -165,43 +162,70 @@ def _unlike_contexts(pending: DataFrame, unlike: DataFrame, n: int, length: int,
             rows = []
             for key_id, key_hash, text, want in zip(*(batch.column(c).to_pylist() for c in ("key_id", "key_hash", "text", "wanted"))):
                 for w in want:
-                    hot = w["n_contexts"] > HOT
-                    value = np.array([w["anchor"], w["context"] if hot else 0], dtype=np.int64).view(np.uint64)
-                    shard = int(mix(value[:1] ^ mix(value[1:]))[0] % np.uint64(shards))
-                    rows.append((shard, w["anchor"], w["context"], w["n"] > 1, hot, _place(key_id, key_hash, w["at"] - w["left"]), w["left"], text[w["at"] - w["left"] : w["at"] + w["right"]]))
-            kinds = pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], ["shard", "anchor", "context", "many", "hot", "place", "left", "bytes"])
+                    value = np.array([w["anchor"]], dtype=np.int64).view(np.uint64)
+                    shard = -1 if w["n_contexts"] > HOT else int(mix(value)[0] % np.uint64(shards))
+                    rows.append((shard, w["anchor"], w["context"], w["n"] > 1, _place(key_id, key_hash, w["at"] - w["left"]), w["left"], text[w["at"] - w["left"] : w["at"] + w["right"]]))
+            kinds = pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], ["shard", "anchor", "context", "many", "place", "left", "bytes"])
 
     def induce(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         rows.sort(key=lambda r: (r["anchor"], r["context"]))
         flags = repeated_in_shard([r["bytes"] for r in rows], [r["place"] for r in rows], length)
-        out, told = [], set()
-        for r, (repeated, number) in zip(rows, flags):
-            spans = [] if r["many"] else [{"from": a - r["left"], "to": b - r["left"]} for a, b in runs_of(repeated)]
-            # Of an anchor dealt over shards, others hear of each string once: as repeated, or as still open.
-            open_ = []
-            for o in range(len(repeated)) if r["hot"] else ():
-                sure = r["many"] or bool(repeated[o])
-                if not (sure and int(number[o]) in told):
-                    told |= {int(number[o])} if sure else set()
-                    open_.append({"at": o - r["left"], "place": r["place"] + o, "sure": sure, "hash": xxhash.xxh3_128_digest(r["bytes"][o : o + length])})
-            if spans or open_:
-                out.append((r["anchor"], r["context"], spans, open_))
+        out = []
+        for r, repeated in zip(rows, flags):
+            if not r["many"] and repeated.any():
+                out.append((r["anchor"], r["context"], [{"from": a - r["left"], "to": b - r["left"]} for a, b in runs_of(repeated)]))
         span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-        left = pa.list_(pa.struct([("at", pa.int32()), ("place", pa.int64()), ("sure", pa.bool_()), ("hash", pa.binary())]))
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), span, left))], ["anchor", "context", "spans", "open"])
-
-    dealt = pending.select(*key, "text").join(wanted, key).mapInArrow(extract, "shard int, anchor long, context long, many boolean, hot boolean, place long, left int, bytes binary")
-    sorted_out = scratch.write(dealt.groupBy("shard").applyInArrow(induce, "anchor long, context long, spans array<struct<from:int,to:int>>, open array<struct<at:int,place:long,sure:boolean,hash:binary>>"), "induced")
-    settled = sorted_out.filter(F.size("spans") > 0).select("anchor", "context", "spans")
-    if not sorted_out.filter(F.size("open") > 0).take(1):
-        return settled
-    open_ = scratch.write(sorted_out.filter(F.size("open") > 0).select("anchor", "context", F.explode("open").alias("o")).select("anchor", "context", "o.*"), "open")
-    found = F.max("sure") | (F.min("place") != F.max("place"))
-    again = scratch.write(open_.groupBy("hash").agg(found.alias("found")).filter("found").select("hash"), "again")
-    late = open_.filter("NOT sure").join(again, "hash").select("anchor", "context", F.array(F.struct(F.col("at").alias("from"), F.col("at").alias("to"))).alias("spans"))
-    return settled.union(late.groupBy("anchor", "context").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), span))], ["anchor", "context", "spans"])
+
+    found = scratch.write(pending.select(*key, "text").join(wanted, key).mapInArrow(extract, "shard int, anchor long, context long, many boolean, place long, left int, bytes binary"), "unlike")
+    sorted_out = found.filter("shard >= 0").groupBy("shard").applyInArrow(induce, "anchor long, context long, spans array<struct<from:int,to:int>>")
+    hot = found.filter("shard < 0")
+    return sorted_out if not hot.take(1) else sorted_out.union(_hot_contexts(hot, length, scratch))
+
+
+def _hot_contexts(hot: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """``anchor, context, spans`` of the contexts of anchors that no shard takes.
+
+    A context is looked at in stretches, ``STRETCH`` strings that start one after another at a fixed
+    distance from the anchor. All strings of a stretch have its core in common: where no other context has
+    that core, none of them is repeated. Where another has the whole stretch, all are. What is left, the
+    edges of shared passages, is compared string by string.
+    """
+
+    def stretch(batches):
+        for batch in batches:
+            rows = []
+            for anchor, context, many, place, left, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "many", "place", "left", "bytes"))):
+                last = len(text) - length - left  # the start of the last string, relative to the anchor
+                for number in range(-left // STRETCH, last // STRETCH + 1):
+                    a, b = number * STRETCH, number * STRETCH + STRETCH - 1
+                    core = xxhash.xxh3_128_digest(text[b + left : a + length + left], number % 2**32)
+                    a, b = max(a, -left), min(b, last)
+                    part = text[a + left : b + length + left]
+                    rows.append((core + anchor.to_bytes(8, "little", signed=True), xxhash.xxh3_128_digest(part, (b - a) % 2**32) + (a % 256).to_bytes(1, "little"), anchor, context, many, place + a + left, a, b, part))
+            kinds = pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], ["core", "whole", "anchor", "context", "many", "place", "a", "b", "part"])
+
+    def strings(batches):
+        for batch in batches:
+            rows = []
+            for core, anchor, context, sure, place, a, part in zip(*(batch.column(c).to_pylist() for c in ("core", "anchor", "context", "sure", "place", "a", "part"))):
+                rows += [(xxhash.xxh3_128_digest(part[o : o + length]), anchor, context, sure, place + o, a + o) for o in range(len(part) - length + 1)]
+            kinds = pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["hash", "anchor", "context", "sure", "place", "at"])
+
+    pieces = scratch.write(hot.mapInArrow(stretch, "core binary, whole binary, anchor long, context long, many boolean, place long, a int, b int, part binary"), "pieces")
+    wholes = scratch.write(pieces.groupBy("core", "whole").agg(((F.count("*") > 1) | F.max("many")).alias("sure"), F.min("place").alias("first_place")), "wholes")
+    shared = scratch.write(wholes.groupBy("core").agg(F.count("*").alias("n_wholes")).filter("n_wholes > 1"), "shared")
+    marked = pieces.join(wholes, ["core", "whole"])
+    sure = marked.filter("sure AND NOT many").select("anchor", "context", F.struct(F.col("a").alias("from"), F.col("b").alias("to")).alias("span"))
+    edges = marked.filter((F.col("place") == F.col("first_place")) & ~F.col("many") | F.col("sure") & (F.col("place") == F.col("first_place"))).join(shared, "core")
+    each = scratch.write(edges.select("core", "anchor", "context", "sure", "place", "a", "part").mapInArrow(strings, "hash binary, anchor long, context long, sure boolean, place long, at int"), "strings")
+    again = scratch.write(each.groupBy("hash").agg((F.max("sure") | (F.min("place") != F.max("place"))).alias("found")).filter("found").select("hash"), "again")
+    late = each.filter("NOT sure").join(again, "hash").select("anchor", "context", F.struct(F.col("at").alias("from"), F.col("at").alias("to")).alias("span"))
+    return sure.union(late).groupBy("anchor", "context").agg(F.collect_list("span").alias("spans"))
 
 
 def _kept(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:

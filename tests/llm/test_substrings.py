@@ -46,7 +46,7 @@ def test_against_brute_force(spark):
     assert check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120))
 
 
-@pytest.mark.parametrize("hot", [128, 3])
+@pytest.mark.parametrize("hot", [1000, 3])
 def test_shared_passages_of_all_lengths(spark, hot, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", hot)
     rng = random.Random(hot)
