@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sentences of public licence texts and notices, normalised (letters and digits, lower case).
@@ -58,7 +58,37 @@ def _rule_cases(seq: str, value: str, contains: str, rules) -> str:
     return f"CASE {' '.join(whens)} END"
 
 
-def scan_licenses(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Marks of a line end within a paragraph, and of the end of a sentence, in ``joined_lines``.
+SOFT, HARD = "\x01", "\x02"
+
+
+def joined_lines(text: Column, sentences: dict[int, str]) -> Column:
+    """``text`` in normal form, sentences parted by ``HARD``: known ones also where they run over line ends.
+
+    Every step goes once over the text. Blanks and signs are one blank before line ends are looked at, so
+    a line of a comment mark only is blank.
+    """
+    marker = r"(\A|[.!?:;,\n][ \t*#/;\"')-]{0,8}\n)[ \t*#/;-]{0,16}\(?(?:[0-9]{1,3}|[A-Za-z]|[ivxIVX]{2,5})[.)](?=[ \t])"
+    known = "|".join(s.replace(" ", f"[ {SOFT}]") for s in sorted(sentences.values(), key=len, reverse=True))
+    steps = [
+        (f"[{SOFT}{HARD}]", " "),
+        (r"\r\n?", "\n"),
+        (marker, f"$1{HARD}"),
+        (r"\b([vV])\.[ \t\n]+(?=[0-9])", "$1 "),
+        (r"[.!?]+(?:[ \t\n]|\z)", HARD),
+        (r"\n[ \t*#/;-]{0,16}\n(?=[ \t*#/;-]{0,16}https?://[^ \t\n]+[ \t]*(?:\n|\z))", "\n"),
+        (f"[^A-Za-z0-9\n{HARD}]+", " "),
+        (r"\n(?: ?\n)+", HARD),
+        (f"[ \n]*{HARD}[ \n{HARD}]*", HARD),
+        (r" ?\n ?", SOFT),
+    ]
+    for pattern, to in steps:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
+    parted = F.regexp_replace(F.lower(text), F.lit(f"(?<=^|[{SOFT}{HARD}]) ?({known}) ?(?=$|[{SOFT}{HARD}])"), F.lit(f"{HARD}$1{HARD}"))
+    return F.translate(parted, SOFT, " ")
+
+
+def scan_licenses(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=RULES, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """``doc_id, n_sentences, n_license_sentences, sequence, rule, license`` of every whole text.
 
     A sentence ends at a line end, or at ``.!?`` before white space or the end of the text. ``sequence``
@@ -66,10 +96,18 @@ def scan_licenses(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=
     follow one another. ``rule`` counts the rules from 1; it and ``license`` are null where none matches.
     A null or empty text has no sentences. Rows are judged one by one: ties, repeated rows and null ids
     change nothing, an empty table gives no rows, other columns are ignored.
+
+    ``wrapped`` reads texts as they are published: a line end within a paragraph ends no sentence, unless
+    the line or lines beside it are a known sentence whole; blank lines do, but not before a line that is an
+    address only. Markers such as ``1.`` or ``(a)`` at the head of an item, and the dot of ``v. 2``, count
+    for nothing.
     """
     text = f"coalesce(`{text_col}`, '')"
     ends = rf"regexp_replace({text}, '[.!?]+([ \\t\\r\\n]|\\z)', '\n')"
     plain = rf"transform(split({ends}, '\\n'), x -> trim(lower(regexp_replace(x, '[^A-Za-z0-9]+', ' '))))"
+    if wrapped:
+        docs = docs.select(id_col, joined_lines(F.expr(text), sentences).alias("__joined"))
+        plain = f"transform(split(__joined, '{HARD}'), x -> trim(x))"
     table = ", ".join(f"'{s}', {k}" for k, s in sentences.items())
     known = f"transform(filter({plain}, x -> x <> ''), x -> coalesce(map({table})[x], 0))"
     kept = "filter(k, (x, i) -> x <> 0 OR coalesce(get(k, i - 1), 1) <> 0)"
