@@ -11,8 +11,11 @@ bounded size, and a block's best few of a query are merged by a ranked window.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +69,8 @@ def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     """``query_id, rank, vec_id, score``: the ``k`` best rows of ``vectors`` for each row of ``queries``.
 
     Components x become floor(scale * x), x as double; the score is their whole-number inner product, ties
-    go to the smaller id. Rows with a null id or vector, or a null or non-finite component, take no part,
-    nor do vectors of a length other than the first's. Rows of a query's own id are not among its results.
+    go to the smaller id. Rows with a null id or vector, or a null or non-finite component, take no part. A
+    query meets the vectors of its own length. Rows of a query's own id are not among its results.
     Rows repeated whole count once. Components are to be small enough for sums to fit a long. An empty
     side gives no rows; other columns are ignored.
     """
@@ -82,34 +85,33 @@ def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
         return df.filter(sound).select(F.col(id_col).cast("long").alias("id"), numbers.alias("v")).distinct()
 
     base = scratch.write(whole(vectors), "vectors")
-    first = base.agg(F.min(F.struct("id", F.size("v").alias("n"))).alias("f")).first().f
-    width = first.n if first else 0
-    base = base.filter(F.size("v") == width)
-    asked = whole(queries).filter(F.size("v") == width)
+    asked = whole(queries)
 
     def block(size: int, sort: bool):
         def run(batches):
-            ids, rows = [], []
-            held = 0
+            parts: dict[int, list] = {}  # by length of vector
+            held: Counter = Counter()
 
-            def emit():
-                i, m = np.concatenate(ids), np.concatenate(rows)
+            def emit(width):
+                i, m = map(np.concatenate, zip(*parts.pop(width)))
+                held.pop(width)
                 order = np.argsort(m, axis=0, kind="stable").T.astype(np.int32) if sort else np.zeros(0, np.int32)
-                return pa.RecordBatch.from_pydict({"ids": [i.astype("<i8").tobytes()], "rows": [m.astype("<i8").tobytes()], "lists": [order.astype("<i4").tobytes()]})
+                return pa.RecordBatch.from_pydict({"width": pa.array([width], pa.int32()), "ids": [i.astype("<i8").tobytes()], "rows": [m.astype("<i8").tobytes()], "lists": [order.astype("<i4").tobytes()]})
 
             for batch in batches:
                 if not len(batch):
                     continue
-                i, m = batch.column("id").to_numpy(zero_copy_only=False), _matrix(batch.column("v"))
-                for a in range(0, len(i), size):
-                    ids.append(i[a : a + size])
-                    rows.append(m[a : a + size])
-                    held += len(ids[-1])
-                    if held >= size:
-                        yield emit()
-                        ids, rows, held = [], [], 0
-            if held:
-                yield emit()
+                lengths = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+                for width in np.unique(lengths).tolist():
+                    of = batch.filter(pa.array(lengths == width))
+                    i, m = of.column("id").to_numpy(zero_copy_only=False), _matrix(of.column("v"))
+                    for a in range(0, len(i), size):
+                        parts.setdefault(width, []).append((i[a : a + size], m[a : a + size]))
+                        held[width] += len(parts[width][-1][0])
+                        if held.total() >= size:  # rows of all lengths together, so many lengths take no more memory
+                            yield emit(held.most_common(1)[0][0])
+            for width in list(parts):
+                yield emit(width)
 
         return run
 
@@ -117,6 +119,7 @@ def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
         for batch in batches:
             out = [[], [], []]
             for r in batch.to_pylist():
+                width = r["width"]
                 ids, rows = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["rows"], "<i8").reshape(-1, width)
                 lists = np.frombuffer(r["lists"], "<i4").reshape(width, -1)
                 asks, points = np.frombuffer(r["asks"], "<i8"), np.frombuffer(r["points"], "<i8").reshape(-1, width)
@@ -128,13 +131,14 @@ def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
 
-    index = scratch.write(base.mapInArrow(block(BLOCK, True), "ids binary, rows binary, lists binary"), "index")
-    blocks = scratch.write(asked.mapInArrow(block(QUERY_BLOCK, False), "ids binary, rows binary, lists binary").select(F.col("ids").alias("asks"), F.col("rows").alias("points"), F.monotonically_increasing_id().alias("b")), "queries")
-    # Each block of the index is given the number of every block of queries, and meets it by that number.
-    numbers = [r.b for r in blocks.select("b").collect()]
-    if not numbers:
-        numbers = [-1]
-    met = index.withColumn("b", F.explode(F.array(*map(F.lit, numbers)))).join(blocks, "b")
+    index = scratch.write(base.mapInArrow(block(BLOCK, True), "width int, ids binary, rows binary, lists binary"), "index")
+    blocks = scratch.write(asked.mapInArrow(block(QUERY_BLOCK, False), "width int, ids binary, rows binary, lists binary").select("width", F.col("ids").alias("asks"), F.col("rows").alias("points"), F.monotonically_increasing_id().alias("b")), "queries")
+    # Each block of the index is given the number of every block of queries of its width, and meets it by that number.
+    numbers: dict[int, list[int]] = {}
+    for r in blocks.select("width", "b").collect():
+        numbers.setdefault(r.width, []).append(r.b)
+    by_width = spark.createDataFrame(list(numbers.items()), "width int, bs array<long>")
+    met = index.join(F.broadcast(by_width), "width").withColumn("b", F.explode("bs")).drop("bs").join(blocks.drop("width"), "b")
     found = met.repartition(F.xxhash64("b", "ids")).mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
