@@ -2,7 +2,7 @@
 
 The lattice of a text has a node before each character and an edge for each piece of the vocabulary that
 spells the characters from there, or the bytes of a character that no piece spells. White space starts a
-word and no piece spans two, so lattices are built once for each distinct word of a batch and chained. An
+word, a run of it one word, and no piece spans two, so lattices are built once for each distinct word of a batch and chained. An
 edge weighs by the rank of its piece, as under Zipf's law, to the power ``alpha``; sums over all paths to
 the end of the word make the weights of a node's edges a distribution.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -47,8 +48,9 @@ class Vocabulary:
         self.model = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        plain = [i for i in plain if sp.get_score(i) > NEVER or len(sp.id_to_piece(i)) == 1]
-        plain = [i for i in plain if GAP not in sp.id_to_piece(i)[1:]]
+        blank = {i for i in plain if not sp.id_to_piece(i).strip(GAP)}  # the encoder finds these whole, without merges
+        plain = [i for i in plain if sp.get_score(i) > NEVER or len(sp.id_to_piece(i)) == 1 or i in blank]
+        plain = [i for i in plain if GAP not in sp.id_to_piece(i)[1:] or i in blank]
         ranks = np.array([min(-sp.get_score(i), size) for i in plain])
         norm = math.log(sum(1 / (r + 2.7) for r in range(size)))
         self.worst = alpha * (-math.log(size + 2.7) - norm)
@@ -326,9 +328,8 @@ def sample_batch(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int)
 
 
 def _words(normal: str) -> list[str]:
-    """``normal`` cut before each mark of white space."""
-    head, *rest = normal.split(GAP)
-    return [head] * bool(head) + [GAP + w for w in rest]
+    """``normal`` cut before each run of marks of white space."""
+    return re.findall(f"{GAP}*[^{GAP}]+|{GAP}+", normal)
 
 
 def _ids(vocab: Vocabulary, pieces: np.ndarray) -> np.ndarray:
