@@ -5,9 +5,10 @@ strings have the same anchor at the same place. Anchors that occur once are done
 others are known by their context, the bytes of all strings that have them. Where all contexts of an
 anchor are alike, all their strings are repeated. The differing contexts of an anchor go to one shard, a
 suffix array is induced over the shard's contexts, and runs of suffixes whose permuted common prefixes
-reach ``length`` are the repeated strings; a run counts if it holds two places of the corpus. No shard
-could hold the contexts of an anchor that has very many (those of a passage which a third of all documents
-share); these are settled over all tasks by 128-bit hashes of their strings, of stretches of strings first.
+reach ``length`` are the repeated strings; a run counts if it holds two places of the corpus. The contexts
+of an anchor that has more than ``HOT`` are settled over all tasks by 128-bit hashes of their strings, of
+stretches of strings first, instead of induced sorting: no shard could hold those of a passage which a third
+of all documents share. One could hold far more than ``HOT``; README has the figures of other values.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .suffixes import permuted_common_prefixes, suffix_array
 
 #: Bytes of a gram.
 GRAM = 32
-#: Different contexts of one anchor beyond which no shard takes it, and contexts for each shard.
+#: Different contexts of one anchor beyond which no shard is given it, and contexts for each shard.
 HOT, SHARD_CONTEXTS = 32, 5000
 #: Strings that start one after another and are first looked at as one stretch.
 STRETCH = 16
