@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, sliced
 
 #: Text bytes for each shard of marks.
 SHARD_BYTES = 32 << 20
@@ -80,7 +80,7 @@ def repeated_marks(keyed: DataFrame, marks_of: Callable[[bytes], np.ndarray], sh
     """
 
     def gather(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key_id", "key_hash"))
             found = [marks_of(t or b"") for t in batch.column("text").to_pylist()]
             marks = np.concatenate([np.zeros(0, np.uint64), *found])

@@ -15,15 +15,17 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
-from .tokens import encoder
+from .scratch import Scratch
+from .tokens import encoder, gathered
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
+NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
 def best_fit_plan(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, int, int]]:
@@ -70,25 +72,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int, id_co
     """The pieces of every whole text; of a document that is cut, the first piece takes what is left over."""
 
     def cut(batches):
-        enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (limit + 1)
-        end = end_id.to_bytes(4, "little")
-        for batch in batches:
-            rows = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = enc.encode(text) + end
-                total = len(ids) // 4
-                start, piece = 0, 0
-                while start < total:
-                    length = (total - start - 1) % limit + 1 if start == 0 else limit
-                    row = doc, piece, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), seen[length]
-                    for column, value in zip(rows, row):
-                        column.append(value)
-                    seen[length] += 1
-                    start, piece = start + length, piece + 1
-            kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()
-            arrays = [pa.array(c, k) for c, k in zip(rows, kinds)]
-            parts = pa.array([part] * len(rows[0]), pa.int32())
-            yield pa.RecordBatch.from_arrays([*arrays[:5], parts, arrays[5]], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"])
+        enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
+        for batch in gathered(batches, "text"):
+            ids, totals = enc.encode_batch(batch.column("text"), end_id)
+            first = (totals - 1) % limit + 1
+            numbers = 1 + (totals - first) // limit
+            doc = np.repeat(np.arange(len(totals)), numbers)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(numbers) - numbers, numbers)
+            length = np.where(piece == 0, first[doc], limit)
+            start = np.where(piece == 0, 0, first[doc] + (piece - 1) * limit)
+            raw, at = memoryview(ids).cast("B"), 4 * ((np.cumsum(totals) - totals)[doc] + start)
+            crcs = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            # Ranks among the pieces of one length that this part has seen.
+            order = np.argsort(length, kind="stable")
+            sorted_lengths = length[order]
+            rank = np.empty(len(doc), np.int64)
+            rank[order] = np.arange(len(doc)) - np.searchsorted(sorted_lengths, sorted_lengths) + seen[sorted_lengths]
+            seen += np.bincount(length, minlength=limit + 1)
+            columns = piece.astype(np.int32), start, length, crcs, np.full(len(doc), part, np.int32), rank
+            kinds = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(c, k) for c, k in zip(columns, kinds))], NAMES)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
 
@@ -101,7 +104,6 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, end_id: int = 0, limit: int =
     columns are ignored. Equal lengths are ranked by part and place in it, so ties need no order of rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "packing")
     pieces = scratch.write(token_pieces(docs, tokenizer, end_id, limit, id_col, text_col), "pieces")
     tallies = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import by_document, by_shard, mix, repeated_marks, runs, shards_for, unpack
-from .scratch import Scratch, row_key, small_batches
+from .scratch import Scratch, row_key, sliced
 
 #: Words of a phrase, and bits of a word's code; a phrase is one 64-bit mark.
 PHRASE, CODE_BITS = 5, 12
@@ -112,7 +112,6 @@ def dedup_passages(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
 
 def _cut(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataFrame, Scratch]:
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "phrases")
     shards = shards_for(docs, text_col)
     keyed = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -128,7 +127,7 @@ def _cut(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataF
     repeated = repeated_marks(keyed.select("key_id", "key_hash", "text"), marks_of, shards, scratch)
 
     def locate(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows, windows, owner, at, keys = [], [], [], [], []
             told = [None if m is None else np.frombuffer(b"".join(m), "<u8") for m in batch.column("marks").to_pylist()]
             heard = [m for m in told if m is not None]
@@ -175,7 +174,7 @@ def _cut(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataF
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], ["key_id", "key_hash", "starts"])
 
     def cut(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = [[], [], [], []]
             for doc_id, text, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts"))):
                 words = text.split()

@@ -7,10 +7,14 @@ reads it back, so a lost executor costs one task and never the whole plan.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +46,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write ``df`` and return it as read back from there."""
-        df.write.options(compression="zstd", **options).parquet(self.path(name))
+        with small_batches(self.spark):
+            df.write.options(compression="zstd", **options).parquet(self.path(name))
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
@@ -67,8 +72,43 @@ def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     return ident.alias("key_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("key_hash")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that long texts cannot fill a worker; a stricter setting stays."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within it, Arrow batches have ``rows`` rows at most (their bytes Spark bounds itself); a stricter setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
         spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of at most ``rows`` rows and about ``size`` bytes, one row at least.
+
+    Between slices, memory that is free again goes back to the machine.
+    """
+    for batch in batches:
+        at = 0
+        while at < len(batch):
+            piece = batch.slice(at, rows)
+            while len(piece) > 1 and piece.nbytes > size:
+                piece = piece.slice(0, (len(piece) + 1) // 2)
+            at += len(piece)
+            yield piece
+        give_back()
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed to the machine, which runs other workers beside it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _TRIM = None

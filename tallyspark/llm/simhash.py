@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, sliced
+from .tokens import forget
 
 #: Distinct fingerprints at home at one anchor, on average.
 AT_HOME = 32
@@ -87,10 +88,9 @@ def anchors(prints: np.ndarray, blocks: list[int], distance: int) -> tuple[np.nd
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, row, fp)``: the fingerprint of each whole text."""
-    small_batches(docs.sparkSession)
-
     def run(batches):
-        for batch in batches:
+        forget()
+        for batch in sliced(batches):
             prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(prints.view(np.int64))], ["doc_id", "row", "fp"])
 

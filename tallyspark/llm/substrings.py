@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .packed import mix, repeated_marks, shards_for
 from .phrases import least_of_each
-from .scratch import Scratch, row_key, small_batches
+from .scratch import Scratch, row_key, sliced
 from .suffixes import permuted_common_prefixes, suffix_array
 
 #: Bytes of a gram.
@@ -104,7 +104,6 @@ FOUND = pa.list_(pa.struct([("anchor", pa.int64()), ("context", pa.int64()), ("a
 def _find(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, Scratch]:
     """The texts without any repeated anchor, done; and the spans to remove from the others."""
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "substrings")
     shards = shards_for(docs, text_col)
     keyed = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -112,7 +111,7 @@ def _find(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Dat
     repeated = repeated_marks(keyed.select(*key, "text"), lambda text: anchors(text, length)[1], shards, scratch)
 
     def locate(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, key_id, key_hash, text, marks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key_id", "key_hash", "text", "marks"))):
                 text = text or b""
@@ -159,7 +158,7 @@ def _unlike_contexts(pending: DataFrame, unlike: DataFrame, n: int, length: int,
     wanted = unlike.groupBy(*key).agg(F.collect_list(F.struct("anchor", "context", "n", "n_contexts", "at", "left", "right")).alias("wanted"))
 
     def extract(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for key_id, key_hash, text, want in zip(*(batch.column(c).to_pylist() for c in ("key_id", "key_hash", "text", "wanted"))):
                 for w in want:
@@ -196,7 +195,7 @@ def _hot_contexts(hot: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """
 
     def stretch(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for anchor, context, many, place, left, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "many", "place", "left", "bytes"))):
                 last = len(text) - length - left  # the start of the last string, relative to the anchor
@@ -210,7 +209,7 @@ def _hot_contexts(hot: DataFrame, length: int, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], ["core", "whole", "anchor", "context", "many", "place", "a", "b", "part"])
 
     def strings(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for core, anchor, context, sure, place, a, part in zip(*(batch.column(c).to_pylist() for c in ("core", "anchor", "context", "sure", "place", "a", "part"))):
                 rows += [(xxhash.xxh3_128_digest(part[o : o + length]), anchor, context, sure, place + o, a + o) for o in range(len(part) - length + 1)]
@@ -259,7 +258,7 @@ def dedup_substrings(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     stream, spans, _ = _find(docs, length, id_col, text_col)
 
     def digest(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
                 kept, removed, n = _kept(text, gone)
@@ -287,7 +286,7 @@ def drop_repeated_substrings(docs: DataFrame, length: int = 200, id_col: str = "
     text_at, names = docs.columns.index(text_col), docs.columns
 
     def cut(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, gone = batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist()
             kept = [t if not g else _kept(t.encode(), g)[0].decode(errors="ignore") for t, g in zip(texts, gone)]
             arrays = [batch.column(k) for k in range(len(names))]

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
-from .tokens import encoder
+from .scratch import sliced, small_batches
+from .tokens import encoder, gathered
 
 SCHEMA = "doc_id long, start long, n_tokens long, part int, ids array<int>"
 
@@ -40,29 +41,22 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     the two named are ignored. The rows are dealt by ranges of (id, text hash), so that a third of all
     rows under one id still spreads.
     """
-    small_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
 
     def encode(batches):
         enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = end_id.to_bytes(4, "little")
-        for batch in batches:
-            blobs = [enc.encode(t) + end for t in batch.column("text").to_pylist()]
-            counts = [len(b) // 4 for b in blobs]
-            starts, offsets = [], [0]
-            for n in counts:
-                starts.append(start)
-                start += n
-                offsets.append(offsets[-1] + n)
-            flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(blobs))])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array([part] * len(counts), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)],
-                ["doc_id", "start", "n_tokens", "part", "ids"],
-            )
+        for batch in gathered(batches, "text"):
+            ids, counts = enc.encode_batch(batch.column("text"), end_id)
+            ends = np.cumsum(counts)
+            starts, start = start + ends - counts, start + int(ends[-1]) if len(ends) else start
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view("<i4")))
+            part_of = pa.array(np.full(len(counts), part, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(starts), pa.array(counts), part_of, lists], ["doc_id", "start", "n_tokens", "part", "ids"])
 
     dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.mapInArrow(encode, SCHEMA).write.options(**LAYOUT).parquet(path)
+    with small_batches(docs.sparkSession):
+        dealt.mapInArrow(encode, SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def read_token_table(spark: SparkSession, path: str) -> DataFrame:
@@ -81,7 +75,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files at ``path``."""
 
     def digest(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             lists = batch.column("ids")
             offsets = lists.offsets.to_pylist()
             raw = memoryview(lists.values.cast(pa.int32()).buffers()[1] or b"") if offsets[-1] else memoryview(b"")
