@@ -21,13 +21,13 @@ and whenever it is read.
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,10 +35,13 @@ from pyspark.sql import functions as F
 
 from .packed import mix
 from .scratch import sliced
+from .tokens import forget
 
 #: Scores at or below this mark pieces that the model never merges to; one character needs no merge.
 NEVER = -1e8
 GAP = "▁"
+#: Texts that share the lattices of their words.
+BATCH = 2000
 
 
 class Vocabulary:
@@ -70,6 +73,10 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys, self.to = keys[order], np.array(list(nodes.values()), dtype=np.int64)[order]
         self.piece, self.weight = np.array(piece, dtype=np.int64), np.array(weight)
+        self.roots = np.full(0x110000, -1, dtype=np.int64)  # the step from node 0
+        first = self.keys < 1 << 21
+        self.roots[self.keys[first]] = self.to[first]
+        self.spelled = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(GAP, " ").encode() for i in range(size) for p in [sp.id_to_piece(i)]]
         self.pairs = {p[k : k + 2] for i in plain for p in [sp.id_to_piece(i)] for k in range(len(p) - 1)}
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int64)
 
@@ -80,6 +87,15 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.to[at], -1)
 
 
+    def decode(self, ids: list[int]) -> str:
+        """The text that ``ids`` spell, without the blank that the model sets before it."""
+        return b"".join(map(self.spelled.__getitem__, ids)).decode(errors="replace").removeprefix(" ")
+
+    def round_trip(self, ids: list[int], text: str) -> bool:
+        """Whether ``ids`` decode to ``text``; where the plain spelling differs, the library decides."""
+        return self.decode(ids) == text or self.model.decode(ids) == text
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str, alpha: float) -> Vocabulary:
     return Vocabulary(path, alpha)
@@ -101,7 +117,7 @@ class Lattice:
         where, at, ids, weights, spans = np.arange(n), np.zeros(n, dtype=np.int64), [], [], []
         from_, k = [], 0
         while len(where):
-            at = vocab.step(at, chars[where + k])
+            at = vocab.step(at, chars[where + k]) if k else vocab.roots[chars]
             good = at >= 0
             where, at = where[good], at[good]
             ends = vocab.piece[at] >= 0
@@ -117,43 +133,45 @@ class Lattice:
             spelled[from_[0]] = True
         (raw,) = np.nonzero(~spelled)  # characters without a piece of their own are spelled in bytes
         n_bytes = 1 + (chars[raw] > 0x7F) + (chars[raw] > 0x7FF) + (chars[raw] > 0xFFFF)
-        from_.append(raw)
-        ids.append(-1 - chars[raw])
-        weights.append(n_bytes * vocab.worst)
-        spans.append(np.ones(len(raw), dtype=np.int64))
+        from_.insert(0, raw)
+        ids.insert(0, -1 - chars[raw])
+        weights.insert(0, n_bytes * vocab.worst)
+        spans.insert(0, np.ones(len(raw), dtype=np.int64))
         source, piece, weight, span = (np.concatenate(x) for x in (from_, ids, weights, spans))
-        order = np.lexsort((span, source))
+        order = np.argsort(source, kind="stable")  # runs by span, each in order, so edges come by node and then span
         self.source, self.piece, weight, span = source[order], piece[order], weight[order], span[order]
-        self.first = np.searchsorted(self.source, np.arange(n))
-        self.count = np.diff(np.append(self.first, len(self.source)))
+        self.count = np.bincount(source, minlength=n)
+        self.first = np.cumsum(self.count) - self.count
         self.after = np.where(span == left[self.source], -1, self.source + span)
         # Sums over all ways to the end of the word, nearest nodes first.
-        beyond = np.zeros(n)
-        by_left = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[by_left], np.arange(1, (left.max() if n else 0) + 2))
+        beyond = np.zeros(n + 1)  # the last stands for the end of the word
+        to = np.where(self.after < 0, n, self.after)
+        near_end, levels = left[self.source], np.arange(1, (left.max() if n else 0) + 2)
+        by_left = np.argsort(near_end, kind="stable")
+        bounds = np.searchsorted(near_end[by_left], levels)
         total = np.empty(len(weight))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            nodes = by_left[a:b]
-            if not len(nodes):
+            if a == b:
                 continue
-            counts = self.count[nodes]
-            edges = np.repeat(self.first[nodes] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-            value = weight[edges] + np.where(self.after[edges] < 0, 0.0, beyond[np.maximum(self.after[edges], 0)])
+            edges = by_left[a:b]
+            nodes = self.source[edges]
+            begin = np.nonzero(np.append(True, nodes[1:] != nodes[:-1]))[0]
+            nodes = nodes[begin]
+            value = weight[edges] + beyond[to[edges]]
             total[edges] = value
-            begin = np.cumsum(counts) - counts
             top = np.maximum.reduceat(value, begin)
-            beyond[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), begin))
+            beyond[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, self.count[nodes])), begin))
         self.logp = np.minimum(total - beyond[self.source], 0.0)
         # Log of the share of a node's other edges, summed without its likeliest where that is nearly all.
+        self.share = np.exp(self.logp)
         with np.errstate(divide="ignore"):
             self.rest = np.log(-np.expm1(np.minimum(self.logp, -1e-300)))
             if n:
                 likely = np.maximum.reduceat(self.logp, self.first)[self.source]
-                others = np.where(self.logp < likely, np.exp(self.logp), 0.0)
+                others = np.where(self.logp < likely, self.share, 0.0)
                 near = self.logp > -0.5
                 self.rest[near] = np.log(np.add.reduceat(others, self.first)[self.source])[near]
         self.rest[self.count[self.source] == 1] = -np.inf
-        self.share = np.exp(self.logp)
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by its share; a node's edges are few, and gone through in order."""
@@ -172,24 +190,38 @@ def uniform(seed: np.ndarray) -> np.ndarray:
     return ((mix(seed) >> np.uint64(12)).astype(np.float64) + 0.5) / 2**52
 
 
-class _Parts(dict):
-    """The numbers of a word's parts: a mark at its end that no piece joins to what is before is a part."""
+class _Parts:
+    """The numbers of the parts of words: a mark at a word's end that no piece joins to what is before is a part."""
 
     def __init__(self, vocab: Vocabulary):
-        super().__init__()
         self.pairs, self.known = vocab.pairs, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def _of_word(self, word: str) -> tuple[int, ...]:
         cut = len(word) - (word[-2:] not in self.pairs if len(word) > 1 else 0)
-        self[word] = out = tuple(self.known.setdefault(p, len(self.known)) for p in (word[:cut], word[cut:]) if p)
-        return out
+        known = self.known
+        if cut == len(word):
+            return (known.setdefault(word, len(known)),)
+        return known.setdefault(word[:cut], len(known)), known.setdefault(word[cut:], len(known))
+
+    def of(self, normals: list[str]) -> list[np.ndarray]:
+        """For each text in normal form the numbers of its parts; distinct words are looked at once."""
+        plain = [n[:1] == GAP and GAP + GAP not in n and n[-1:] != GAP for n in normals]
+        words = pc.split_pattern(pa.array([n[1:] for n, p in zip(normals, plain) if p], pa.large_string()), GAP)
+        coded = words.flatten().dictionary_encode()
+        found = [self._of_word(GAP + w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        first, second = np.array([f[0] for f in found], dtype=np.int64), np.array([f[1] if len(f) > 1 else -1 for f in found], dtype=np.int64)
+        index = coded.indices.to_numpy()
+        both = np.stack([first[index], second[index]], axis=1).ravel()
+        ends = words.offsets.to_numpy() * 2
+        texts = iter([both[a:b][both[a:b] >= 0] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
+        return [next(texts) if p else np.array([x for w in _words(n) for x in self._of_word(w)], dtype=np.int64) for n, p in zip(normals, plain)]
 
 
 class Paths:
     """One path for each of some texts: its edges in order of text, and for each the value of leaving there."""
 
-    def __init__(self, text, word, edge, before, value):
-        self.text, self.word, self.edge, self.before, self.value = text, word, edge, before, value
+    def __init__(self, text, word, edge, before, value, begin):
+        self.text, self.word, self.edge, self.before, self.value, self.begin = text, word, edge, before, value, begin
         self.excluded: dict[int, list[int]] = {}
 
     def best(self, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,12 +280,8 @@ def _mass_left(lattice: Lattice, edges: list[int]) -> float:
 def sample_batch(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[list[int], float, float, float]]]:
     """For each text up to ``k`` distinct ``(ids, log-probability, perturbed value, log of inclusion)``."""
     parts = _Parts(vocab)
-    of_text, slots = [], []
-    for i, text in enumerate(texts):
-        words = _words(vocab.model.normalize(text)) if text else []
-        slots.append(np.array(list(itertools.chain.from_iterable(map(parts.__getitem__, words))), dtype=np.int64))
-        of_text.append(np.full(len(slots[-1]), i))
-    slot, text_of = np.concatenate([np.zeros(0, np.int64), *slots]), np.concatenate([np.zeros(0, np.int64), *of_text])
+    slots = parts.of([vocab.model.normalize(text) if text else "" for text in texts])
+    slot, text_of = np.concatenate([np.zeros(0, np.int64), *slots]), np.repeat(np.arange(len(texts)), [len(x) for x in slots])
     lattice = Lattice(vocab, list(parts.known))
     n = len(texts)
     first_word = np.searchsorted(text_of, np.arange(n + 1))
@@ -277,7 +305,7 @@ def sample_batch(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int)
         step = (np.arange(len(edge)) - begin[text]).astype(np.uint64)
         draws = uniform(seeds[text] + mix((step << np.uint64(16)) + np.uint64(2 * sample + 1)))
         value = np.where(fresh, -np.inf, _truncated(before + lattice.rest[edge], bound[text], draws))
-        paths.append(Paths(text, word, edge, before, value))
+        paths.append(Paths(text, word, edge, before, value, begin))
         for i in np.nonzero(alive)[0].tolist():
             found[i].append((begin[i], end[i], sample, float(total[i]), float(bound[i])))
         values, places = zip(*(p.best(n) for p in paths))
@@ -294,7 +322,7 @@ def sample_batch(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int)
             node = int(lattice.source[p.edge[at]])
             others = [e for e in range(lattice.first[node], lattice.first[node] + lattice.count[node]) if e not in taken]
             share = np.cumsum(np.exp(lattice.logp[others] - lattice.logp[others].max()))
-            a = int(np.searchsorted(p.text, i))
+            a = int(p.begin[i])
             seed = seeds[i : i + 1] ^ mix(np.array([sample + 1 << 40 | at - a], dtype=np.uint64))
             pick = others[min(int(np.searchsorted(share, uniform(seed)[0] * share[-1], side="right")), len(others) - 1)]
             taken.append(pick)
@@ -363,14 +391,15 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float =
     """
     def run(batches):
         vocab = vocabulary(model, alpha)
-        for batch in sliced(batches):
+        forget()
+        for batch in sliced(batches, rows=BATCH):
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             seeds = np.array([xxhash.xxh64_intdigest(str(i), seed) for i in ids], dtype=np.uint64)
             columns = [[] for _ in range(9)]
             for doc_id, text, rows in zip(ids, texts, sample_batch(vocab, texts, seeds, k)):
                 for sample, (piece_ids, logp, perturbed, inclusion) in enumerate(rows):
                     listed = piece_ids.tolist()
-                    values = doc_id, sample, len(listed), zlib.crc32(piece_ids.astype("<u4").tobytes()), logp, perturbed, inclusion, vocab.model.decode(listed) == text, listed if with_ids else None
+                    values = doc_id, sample, len(listed), zlib.crc32(piece_ids.astype("<u4").tobytes()), logp, perturbed, inclusion, vocab.round_trip(listed, text), listed if with_ids else None
                     for column, value in zip(columns, values):
                         column.append(value)
             kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())
