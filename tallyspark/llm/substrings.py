@@ -2,13 +2,14 @@
 
 Every string of ``length`` bytes has an anchor, the least of its short grams by a hash, so that equal
 strings have the same anchor at the same place. Anchors that occur once are done with (``packed``). The
-others are known by their context, the bytes of all strings that have them. Where all contexts of an
-anchor are alike, all their strings are repeated. The differing contexts of an anchor go to one shard, a
-suffix array is induced over the shard's contexts, and runs of suffixes whose permuted common prefixes
-reach ``length`` are the repeated strings; a run counts if it holds two places of the corpus. The contexts
-of an anchor that has more than ``HOT`` are settled over all tasks by 128-bit hashes of their strings, of
-stretches of strings first, instead of induced sorting: no shard could hold those of a passage which a third
-of all documents share. One could hold far more than ``HOT``; README has the figures of other values.
+others are known by their context, the bytes of all strings that have them (compared by the 64 bits of the
+anchor and 64 of a hash of the context). Where all contexts of an anchor are alike, all their strings are
+repeated. The differing contexts of an anchor go to one shard, are clipped to the bytes that each shares
+with another of its anchor, a suffix array is induced over what is left of the shard's contexts, and runs
+of suffixes whose permuted common prefixes reach ``length`` are the repeated strings; a run counts if it
+holds two places of the corpus. The contexts of an anchor that has more than ``HOT`` would be one shard of
+unbounded size, as when a third of all documents share a passage; they are settled over all tasks by
+128-bit hashes of their strings, of stretches of strings first, instead of induced sorting.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .suffixes import permuted_common_prefixes, suffix_array
 #: Bytes of a gram.
 GRAM = 32
 #: Different contexts of one anchor beyond which no shard is given it, and contexts for each shard.
-HOT, SHARD_CONTEXTS = 32, 5000
+HOT, SHARD_CONTEXTS = 1000, 2000
 #: Strings that start one after another and are first looked at as one stretch.
 STRETCH = 16
 #: Bytes looked at together; texts are gone through in such blocks, so memory does not follow their length.
@@ -91,6 +92,36 @@ def repeated_in_shard(contexts: list[bytes], places: list[int], length: int) ->
     return [found[s : s + max(0, n - length + 1)] for s, n in zip(starts.tolist(), sizes.tolist())]
 
 
+def _shared(keys: list[bytes], head: int, most: int) -> np.ndarray:
+    """For each key the bytes after its ``head`` that it shares with another key of the same head, up to ``most``."""
+    width = head + most
+    keys = [k[:width] for k in keys]
+    order = np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)
+    rows = np.frombuffer(b"".join([keys[k].ljust(width, b"\0") for k in order.tolist()]), np.uint8).reshape(-1, width)
+    sizes = np.array([len(keys[k]) for k in order.tolist()], dtype=np.int64)
+    apart = rows[1:] != rows[:-1]
+    common = np.where(apart.any(axis=1), apart.argmax(axis=1), width)
+    common = np.maximum(np.minimum(common, np.minimum(sizes[1:], sizes[:-1])) - head, 0)
+    out = np.zeros(len(keys), dtype=np.int64)
+    out[order] = np.maximum(np.append(0, common), np.append(common, 0))
+    return out
+
+
+def clips(anchors_: list[int], contexts: list[bytes], lefts: list[int], length: int) -> list[tuple[int, int]]:
+    """For each context the part, from and to, outside of which it shares nothing with another of its anchor.
+
+    A string that stands in two contexts of an anchor stands at the same place of both, so it ends within
+    the bytes that some other context shares on the right of the anchor, and starts within those that some
+    other shares on its left. Where the two together are shorter than a string, the part is empty.
+    """
+    if not contexts:
+        return []
+    heads = [a.to_bytes(8, "big", signed=True) for a in anchors_]
+    right = _shared([h + c[n:] for h, c, n in zip(heads, contexts, lefts)], 8, length)
+    left = _shared([h + c[:n][::-1] for h, c, n in zip(heads, contexts, lefts)], 8, length)
+    return [(n - a, n + b) if a + b >= length else (0, 0) for n, a, b in zip(lefts, left.tolist(), right.tolist())]
+
+
 def _place(key_id: int, key_hash: int, at: int) -> int:
     """A number for byte ``at`` of a row, consecutive within the row."""
     head = mix(mix(np.array([key_id], dtype=np.int64).view(np.uint64)) ^ np.array([key_hash], dtype=np.int64).view(np.uint64))
@@ -171,11 +202,13 @@ def _unlike_contexts(pending: DataFrame, unlike: DataFrame, n: int, length: int,
     def induce(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         rows.sort(key=lambda r: (r["anchor"], r["context"]))
-        flags = repeated_in_shard([r["bytes"] for r in rows], [r["place"] for r in rows], length)
+        parts = clips([r["anchor"] for r in rows], [r["bytes"] for r in rows], [r["left"] for r in rows], length)
+        kept = [(r, a, b) for r, (a, b) in zip(rows, parts) if b > a]
+        flags = repeated_in_shard([r["bytes"][a:b] for r, a, b in kept], [r["place"] + a for r, a, b in kept], length) if kept else []
         out = []
-        for r, repeated in zip(rows, flags):
+        for (r, at, _), repeated in zip(kept, flags):
             if not r["many"] and repeated.any():
-                out.append((r["anchor"], r["context"], [{"from": a - r["left"], "to": b - r["left"]} for a, b in runs_of(repeated)]))
+                out.append((r["anchor"], r["context"], [{"from": at + a - r["left"], "to": at + b - r["left"]} for a, b in runs_of(repeated)]))
         span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), span))], ["anchor", "context", "spans"])
 

@@ -61,3 +61,22 @@ def test_shared_passages_of_all_lengths(spark, hot, monkeypatch):
 
 def test_runs_of_one_character(spark):
     assert check(spark.createDataFrame([(1, "a" * 700), (2, "a" * 200), (3, "b" * 199), (4, "c" * 200), (5, "ab" * 300 + "d" * 230)], "doc_id long, text string"))
+
+
+def test_clipping_loses_no_string():
+    rng = random.Random(3)
+    for _ in range(200):
+        length = rng.randint(3, 8)
+        anchors, contexts, lefts = [], [], []
+        for _ in range(rng.randint(1, 12)):
+            left = rng.randint(0, 6)
+            anchors.append(rng.randint(-1, 1))
+            contexts.append(bytes(rng.choice(b"ab") for _ in range(left)) + b"GRAM" + bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 6))))
+            lefts.append(left)
+        parts = substrings.clips(anchors, contexts, lefts, length)
+        strings = [{(i, c[a : a + length], a - n) for a in range(len(c) - length + 1)} for i, (c, n) in enumerate(zip(contexts, lefts))]
+        for i, (c, n, (a, b)) in enumerate(zip(contexts, lefts, parts)):
+            others = {(s, at) for j, found in enumerate(strings) if j != i and anchors[j] == anchors[i] for _, s, at in found}
+            for o in range(len(c) - length + 1):
+                if o <= n and o + length >= n and (c[o : o + length], o - n) in others:
+                    assert a <= o and o + length <= b
