@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import fresh
+
 #: White space between words: blank and the characters 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Characters that count as symbols.
@@ -100,10 +102,15 @@ def quality_rules(docs: DataFrame, rules: list[tuple] = RULES, id_col: str = "do
 
 
 def keep_good(docs: DataFrame, rules: list[tuple] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged."""
-    m = docs.withColumn("__m", measures(f"`{text_col}`"))
-    flat = m.withColumn("__m", F.struct("__m.n_words", "__m.word_chars", "__m.n_symbols", "__m.n_stop_words", "__m.n_repeat_words", F.col("__m.l.dup").alias("n_dup_lines"), F.col("__m.l.n").alias("n_lines")))
-    return flat.filter(F.expr(f"NOT {base_failed('__m.')} AND {rules_hold('__m.', rules)}")).drop("__m")
+    """The rows of ``docs`` that the rules keep, all columns unchanged, whatever their names.
+
+    Null, empty and blank texts go; rows are judged one by one, so ties and repeated rows change nothing.
+    """
+    (name,) = fresh(docs, "measures")
+    m = docs.withColumn(name, measures(f"`{text_col}`"))
+    parts = [F.col(f"{name}.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_repeat_words")]
+    flat = m.withColumn(name, F.struct(*parts, F.col(f"{name}.l.dup").alias("n_dup_lines"), F.col(f"{name}.l.n").alias("n_lines")))
+    return flat.filter(F.expr(f"NOT {base_failed(name + '.')} AND {rules_hold(name + '.', rules)}")).drop(name)
 
 
 #: The same in DuckDB.

@@ -41,7 +41,7 @@ from .tokens import forget
 NEVER = -1e8
 GAP = "▁"
 #: Texts that share the lattices of their words.
-BATCH = 2000
+BATCH = 1300
 
 
 class Vocabulary:
@@ -138,9 +138,11 @@ class Lattice:
         weights.insert(0, n_bytes * vocab.worst)
         spans.insert(0, np.ones(len(raw), dtype=np.int64))
         source, piece, weight, span = (np.concatenate(x) for x in (from_, ids, weights, spans))
+        del from_, ids, weights, spans, where, at
         order = np.argsort(source, kind="stable")  # runs by span, each in order, so edges come by node and then span
         self.source, self.piece, weight, span = source[order], piece[order], weight[order], span[order]
         self.count = np.bincount(source, minlength=n)
+        del source, piece, order
         self.first = np.cumsum(self.count) - self.count
         self.after = np.where(span == left[self.source], -1, self.source + span)
         # Sums over all ways to the end of the word, nearest nodes first.

@@ -72,6 +72,22 @@ def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     return ident.alias("key_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("key_hash")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` has not, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """``name`` as the column of that name, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Within it, Arrow batches have ``rows`` rows at most (their bytes Spark bounds itself); a stricter setting stays."""

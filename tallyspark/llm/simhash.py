@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, sliced
+from .scratch import Scratch, fresh, sliced
 from .tokens import forget
 
 #: Distinct fingerprints at home at one anchor, on average.
@@ -148,12 +148,16 @@ def simhash_near_duplicates(docs: DataFrame, distance: int = 2, id_col: str = "d
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, all its columns unchanged."""
+    """``docs`` with one row of each component, all its columns unchanged, whatever their names.
+
+    Null and empty texts are of one component; of rows repeated whole one stays; an empty table stays empty.
+    """
     found, scratch = simhash_components(docs, distance, id_col, text_col)
     keepers = scratch.write(found.filter(F.col("row") == F.col("keeper")).select(F.struct("doc_id", "row").alias("of")), "keepers")
-    kept = keepers.distinct()
+    kept, (of, ours, n) = keepers.distinct(), fresh(docs, "of", "ours", "n")
+    kept = kept.withColumnRenamed("of", of)
     name = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row"))
-    held = docs.withColumn("__of", name).join(kept, F.col("__of") == F.col("of"), "left_semi")
+    held = docs.withColumn(ours, name).join(kept, F.col(ours) == F.col(of), "left_semi")
     if keepers.count() > kept.count():  # rows repeated whole, id and text
-        held = held.withColumn("__n", F.row_number().over(Window.partitionBy("__of").orderBy(F.lit(0)))).filter("__n = 1").drop("__n")
-    return held.drop("__of")
+        held = held.withColumn(n, F.row_number().over(Window.partitionBy(ours).orderBy(F.lit(0)))).filter(F.col(n) == 1).drop(n)
+    return held.drop(ours)

@@ -21,10 +21,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .packed import mix, repeated_marks, shards_for
 from .phrases import least_of_each
-from .scratch import Scratch, row_key, sliced
+from .scratch import Scratch, fresh, quoted, row_key, sliced
 from .suffixes import permuted_common_prefixes, suffix_array
 
 #: Bytes of a gram.
@@ -313,9 +314,10 @@ def drop_repeated_substrings(docs: DataFrame, length: int = 200, id_col: str = "
     """
     _, spans, _ = _find(docs, length, id_col, text_col)
     ident, digest = row_key(id_col, text_col)
-    keyed = docs.withColumns({"__key_id": ident, "__key_hash": digest})
-    spans = spans.select(F.col("key_id").alias("__a"), F.col("key_hash").alias("__b"), F.col("spans").alias("__spans"))
-    joined = keyed.join(spans, (F.col("__key_id") == F.col("__a")) & (F.col("__key_hash") == F.col("__b")), "left").select(*docs.columns, "__spans")
+    key_id, key_hash, a, b, gone_col = fresh(docs, "key_id", "key_hash", "a", "b", "spans")
+    keyed = docs.withColumns({key_id: ident, key_hash: digest})
+    spans = spans.select(F.col("key_id").alias(a), F.col("key_hash").alias(b), F.col("spans").alias(gone_col))
+    joined = keyed.join(spans, (F.col(key_id) == F.col(a)) & (F.col(key_hash) == F.col(b)), "left").select(*map(quoted, docs.columns), gone_col)
     text_at, names = docs.columns.index(text_col), docs.columns
 
     def cut(batches):
@@ -324,9 +326,12 @@ def drop_repeated_substrings(docs: DataFrame, length: int = 200, id_col: str = "
             kept = [t if not g else _kept(t.encode(), g)[0].decode(errors="ignore") for t, g in zip(texts, gone)]
             arrays = [batch.column(k) for k in range(len(names))]
             arrays[text_at] = pa.array(kept, arrays[text_at].type)
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            yield pa.RecordBatch.from_arrays(arrays, plain)
 
-    out = joined.mapInArrow(cut, docs.schema)
+    # Python workers see columns by place, so names may hold any sign.
+    plain = [f"c{k}" for k in range(len(names))]
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema)])
+    out = joined.toDF(*plain, "spans").mapInArrow(cut, schema).toDF(*names)
     if n_chars_col in names:
         out = out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType))
     return out

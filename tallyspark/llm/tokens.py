@@ -24,9 +24,9 @@ from tokenizers import Tokenizer
 from .scratch import give_back
 
 #: Words that an encoder keeps with their ids, and letters of a word that skips the pretokenizer.
-KNOWN_WORDS, LETTERS_ALONE = 500_000, 64
+KNOWN_WORDS, LETTERS_ALONE = 1_000_000, 64
 #: Text bytes that are cut and gathered together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
 
 #: Signs that no rule of the pretokenizers joins to the letters before them; the apostrophe begins short forms.
 SIGNS = "".join(c for c in string.punctuation if c != "'")
