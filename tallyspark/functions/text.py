@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from .unicode import nullif_empty, strip
 
-# Marks of a page in a transcript, and tokens that chat models leave in a text.
+# The mark of a page in a transcript, tokens that chat models leave in a text, element names of
+# document markup, and cell marks of table markup.
 PAGE_MARK = r"(?m)^={5}\s+PAGE\s+\d+\s+={5}\s*$"
-CHAT_TOKENS = ["<end_of_utterance>", "<|im_end|>", "<|endoftext|>", "<eos>", "<bos>"]
+CHAT_TOKENS = ["<|im_end|>", "<|im_start|>", "<|endoftext|>", "<|end|>", "<eos>", "<bos>", "<|user|>", "<|assistant|>", "<|system|>"]
+MARKUP = "doctag text page_header page_footer otsl list_item caption picture table code chart formula section_header footnote paragraph title smiles inline".split()
+CELL_MARKS = ["fcel", "lcel", "ecel", "ched", "rhed", "srow"]
 
 
 def pages(body: Column) -> Column:
@@ -24,8 +27,8 @@ def header(text: Column, key: str) -> Column:
 
 
 def strip_markup(text: Column) -> Column:
-    """Without tags and location tokens."""
-    return F.regexp_replace(F.regexp_replace(text, r"<loc_\d+>", ""), r"</?[A-Za-z_][^<>]*>", "")
+    """Without the tags of document markup and location tokens; other tags are text."""
+    return F.regexp_replace(text, rf"<(?:/?(?:{'|'.join(MARKUP)})|loc_\d+)>", "")
 
 
 def strip_chat_tokens(text: Column) -> Column:
@@ -36,50 +39,120 @@ def collapse_blank_lines(text: Column) -> Column:
     return F.regexp_replace(text, r"\n{3,}", "\n\n")
 
 
-def collapse_line_runs(text: Column, least: int = 3) -> Column:
-    """Runs of ``least`` equal lines or more as one line; shorter runs stay."""
-    lines = F.split(text, "\n")
-    one = lambda line, n: F.struct(line.alias("line"), n.alias("n"))
-    start = F.expr("CAST(array() AS array<struct<line:string,n:int>>)")
+def collapse_line_runs(text: Column) -> Column:
+    """Runs of three equal lines or more as one line; runs of two stay. One pass, each line beside its neighbours."""
 
-    def add(runs: Column, line: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        again = F.coalesce(last.line == line, F.lit(False))
-        grown = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(one(line, last.n + 1)))
-        return F.when(again, grown).otherwise(F.concat(runs, F.array(one(line, F.lit(1)))))
+    def stays(lines: Column) -> Column:
+        near = lambda line, k: F.coalesce(F.get(lines, k) == line, F.lit(False))
+        return F.filter(lines, lambda line, i: ~near(line, i - 1) | (~near(line, i - 2) & ~near(line, i + 1)))
 
-    kept = F.flatten(F.transform(F.aggregate(lines, start, add), lambda r: F.array_repeat(r.line, F.when(r.n >= least, F.lit(1)).otherwise(r.n))))
-    return F.array_join(kept, "\n")
+    return F.array_join(F.element_at(F.transform(F.array(F.split(text, "\n")), stays), 1), "\n")
+
+
+def collapse_blocks(text: Column, shortest: int = 3, longest: int = 15, copies: int = 3) -> Column:
+    """Blocks of lines that follow themselves, ``copies`` times in all or more, as one block.
+
+    Block lengths are tried from the shortest; the first at which something collapses is the last.
+    """
+    import pandas as pd
+
+    def one(whole: str) -> str:
+        lines = whole.split("\n")
+        for size in range(shortest, longest + 1):
+            # How many lines from each on equal the line a block later.
+            alike = [0] * (len(lines) + 1)
+            for i in range(len(lines) - size - 1, -1, -1):
+                alike[i] = alike[i + 1] + 1 if lines[i] == lines[i + size] else 0
+            out, i = [], 0
+            while i < len(lines):
+                if alike[i] >= (copies - 1) * size:
+                    out += lines[i : i + size]
+                    i += size * (1 + alike[i] // size)
+                else:
+                    out.append(lines[i])
+                    i += 1
+            if len(out) < len(lines):
+                return "\n".join(out)
+        return whole
+
+    def run(texts):
+        return texts.map(one, na_action="ignore")
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(text)
 
 
 def table_rows(text: Column) -> Column:
-    """Cell markup to lines: two cells are a label and its value, others stand side by side."""
-    cells = lambda row: F.filter(F.transform(F.split(row, r"<fcel>|<ecel>|<lcel>"), strip), lambda c: c != "")
-    row = lambda c: F.when(F.size(c) == 2, F.concat_ws(": ", c)).otherwise(F.concat_ws(" | ", c))
-    return F.array_join(F.filter(F.transform(F.split(text, "<nl>"), lambda r: row(cells(r))), lambda r: r != ""), "\n")
+    """Cell markup to lines: two cells are a label and its value, others stand side by side; rows without cells go."""
+    cells = lambda row: F.filter(F.transform(F.split(row, f"<(?:{'|'.join(CELL_MARKS)})>"), strip), lambda c: c != "")
+    label = lambda c: strip(F.regexp_replace(c[0], ":+$", ""))
+    row = lambda c: F.when(F.size(c) == 2, F.concat(label(c), F.lit(": "), c[1])).otherwise(F.concat_ws(" ", c))
+    return F.array_join(F.transform(F.filter(F.transform(F.split(text, "<nl>"), cells), lambda c: F.size(c) > 0), row), "\n")
 
 
 def label_pattern(label: str) -> str:
-    """A Java pattern of a line that gives a label and its value, whatever white space the label has."""
-    words = r"\s+".join(re.escape(w) for w in label.split())
-    return rf"(?im)^[\s*|#-]*{words}\s*\**\s*[:|]\s*(.+?)\s*\|?\s*$"
+    """A Java pattern of a line that begins with ``label``, after list marks and emphasis, and gives a value.
+
+    Blanks, colons and emphasis set the value off; neither they nor the value leave the line.
+    """
+    return rf"(?im)^[\t \-•*`_]*+{re.escape(label)}[\t :*`_]*+([^\n]*)$"
 
 
 def labelled(text: Column, label: str) -> Column:
-    """The value after ``label`` on its line, cleaned; null if there is none."""
+    """The value after ``label`` on the first line that begins with it, cleaned; null if there is none."""
     return clean_value(F.regexp_extract(text, label_pattern(label), 1))
 
 
+def adapted(text: Column, model: Column) -> Column:
+    """A transcript as its reader's kind of output asks for: document markup, table cells, repeated blocks,
+    or nothing but chat tokens and blank lines."""
+    plain = collapse_blank_lines(strip_chat_tokens(text))
+    name = F.lower(model)
+    return (
+        F.when(name.contains("docling"), collapse_line_runs(strip_markup(text)))
+        .when(name.contains("mineru"), table_rows(text))
+        .when(name.contains("paligemma"), collapse_blocks(text))
+        .otherwise(plain)
+    )
+
+
+def cross_references(text: Column) -> tuple[Column, Column]:
+    """Number and date of ``Nr. X vom Y``, null where there is none."""
+    found = r"(?i)\bNr\.?[ \t]*(\S+)[ \t]+vom[ \t]+(\d{1,2}\.\d{1,2}\.\d{4})"
+    return nullif_empty(F.regexp_extract(text, found, 1)), nullif_empty(F.regexp_extract(text, found, 2))
+
+
+def named_in_section(text: Column, heading: str, label: str = "Name") -> Column:
+    """The value of ``label`` below ``heading`` and before the next blank line; null if there is none."""
+    section = F.regexp_extract(text, rf"(?ims)^[\t *#_]*{re.escape(heading)}[^\n]*\n(.*?)(?:\n[\t ]*\n|\z)", 1)
+    return labelled(section, label)
+
+
+def window_lines(window: Column) -> Column:
+    """The lines of a window, trimmed, empty ones left out."""
+    return F.filter(F.transform(F.split(window, "\n"), strip), lambda x: x != "")
+
+
+def first_amount_of(window: Column, labels: list[str]) -> Column:
+    """The amount after the first of ``labels``, by priority, that has one."""
+    return F.coalesce(*(amount_after(window, label) for label in labels))
+
+
 # What stands for no value on a page.
-ABSENCE = ["nicht angegeben", "nicht vorhanden", "keine angabe", "not specified", "not provided", "not available", "not found", "n/a", "none", "unbekannt"]
+ABSENCE = ["[Name fehlt]", "[ID fehlt]", "[Adresse fehlt]", "[unable to determine]", "[unknown]", "[fehlt]", "[missing]", "[N/A]", "N/A", "Sorry, as a base VLM"]
+
+
+def says_absent(text: Column) -> Column:
+    """Whether a value is blank or says that there is none."""
+    low = F.lower(text)
+    return F.reduce(F.array(*(F.lit(mark.lower()) for mark in ABSENCE)), strip(text) == "", lambda found, mark: found | low.contains(mark))
 
 
 def clean_value(text: Column) -> Column:
-    """Without emphasis and framing marks; null if nothing is left or it says that there is no value."""
-    bare = strip(F.regexp_replace(text, r"[*`_]{2,}|^[*`]+|[*`]+$", ""))
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^[/\-:\s]+(?=\D)", ""), r"[.,;:\s]+$", "")
-    absent = F.lower(bare).rlike("|".join(map(re.escape, ABSENCE)))
-    return F.when(bare.rlike(r"[\p{L}\p{N}]") & ~absent, bare)
+    """Without emphasis, framing marks and end marks; null if no letter or digit is left or it says that there is no value."""
+    bare = strip(F.regexp_replace(strip(text), r"^[*`_]+\s*|\s*[*`_]+$", ""))
+    bare = F.regexp_replace(strip(F.regexp_replace(bare, r"^[/:-]+", "")), r"[.,;:]+$", "")
+    return F.when(bare.rlike(r"[\p{L}\p{N}]") & ~says_absent(bare), bare)
 
 
 def totals_window(text: Column, start: str = "Belegsummen", end: str = "Zahlungsbedingung") -> Column:

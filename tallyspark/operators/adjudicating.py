@@ -34,8 +34,9 @@ def _first(array: Column) -> Column:
     return F.try_element_at(array, F.lit(1))
 
 
-def _tokens(value: Column) -> Column:
-    spaced = F.translate(F.lower(F.coalesce(value, F.lit(""))), SEPARATORS, " " * len(SEPARATORS))
+def _tokens(value: Column, unicode: bool = True) -> Column:
+    folded = F.regexp_replace(casefolded(fold(F.coalesce(value, F.lit("")), unicode), unicode), "ß", "ss")
+    spaced = F.translate(folded, SEPARATORS, " " * len(SEPARATORS))
     return F.array_distinct(F.filter(F.split(spaced, " "), lambda t: t != ""))
 
 
@@ -58,7 +59,7 @@ def adjudicate(readings: DataFrame) -> DataFrame:
     forms = F.array_distinct(F.transform(F.filter("said", lambda r: r.canonical.isNotNull()), lambda r: r.canonical))
     groups = F.transform(forms, lambda c: F.filter(F.col("said"), lambda r: r.canonical == c))
     cells = cells.withColumn("groups", groups)
-    facts = F.transform("groups", lambda g: F.struct(F.size(g).alias("n"), F.exists(g, lambda r: r.proven).alias("proven"), _tokens(_first(g).value).alias("tokens"), _fullest(g).value.alias("best")))
+    facts = F.transform("groups", lambda g: F.struct(F.size(g).alias("n"), F.exists(g, lambda r: r.proven).alias("proven"), _tokens(_first(g).value, unicode=False).alias("tokens"), _fullest(g).value.alias("best")))
     cells = cells.withColumn("facts", facts)
     proven = F.filter("facts", lambda f: f.proven)
     by_size = F.array_sort(F.col("facts"), lambda a, b: F.when(a.n != b.n, b.n - a.n).otherwise(F.size(b.tokens) - F.size(a.tokens)))

@@ -9,15 +9,15 @@ from ..operators import recovering
 from .catalog import query
 from .inputs import duck, frame, table
 
-_TURNS = "SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 3 = 0 THEN CAST(NULL AS STRING) WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE substr(text, 1, 40) END AS value, CAST((conv_id * 7 + turn * 3) % 5 AS DOUBLE) / 5 AS confidence FROM {conversations}"
+_TURNS = "SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 3 = 0 THEN CAST(NULL AS STRING) WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE text END AS value, CAST((conv_id * 7 + turn * 3) % 5 AS DOUBLE) / 5 AS confidence FROM {conversations}"
 
 
-@query("SELECT conv_id, count(*) AS n_pages FROM conversations WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' GROUP BY 1")
+@query("SELECT conv_id, count(*) AS n_pages, md5(string_agg(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), chr(12) ORDER BY turn)) AS digest FROM conversations WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' GROUP BY 1")
 def page_split(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     marked = F.concat(F.lit("===== PAGE "), F.col("turn").cast("string"), F.lit(" =====\n"), F.coalesce("text", F.lit("")))
     bodies = turns.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", marked.alias("t")))).t, "\n").alias("body"))
-    return bodies.select("conv_id", F.size(T.pages(F.col("body"))).cast("long").alias("n_pages")).filter("n_pages > 0")
+    return bodies.select("conv_id", F.size(T.pages(F.col("body"))).cast("long").alias("n_pages"), F.md5(F.array_join(T.pages(F.col("body")), "\f")).alias("digest")).filter("n_pages > 0")
 
 
 @query(f"SELECT conv_id, role, first(value ORDER BY turn) FILTER (value IS NOT NULL) AS value FROM ({duck(_TURNS)}) GROUP BY 1, 2")
@@ -72,31 +72,31 @@ def json_recovery(spark, sf_dir):
     return events.select("event_id", F.coalesce(F.get_json_object(found, "$.k"), F.get_json_object(found, "$.r[1].k")).alias("k"))
 
 
-@query("SELECT page_id, length(regexp_replace(regexp_replace(html, '<loc_\\d+>', '', 'g'), '</?[A-Za-z_][^<>]*>', '', 'g')) AS n_chars FROM pages WHERE html IS NOT NULL")
+@query(f"SELECT page_id, md5(regexp_replace(html, '<(/?({'|'.join(T.MARKUP)})|loc_[0-9]+)>', '', 'g')) AS digest FROM pages WHERE html IS NOT NULL")
 def markup_strip(spark, sf_dir):
-    return table(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", F.length(T.strip_markup(F.col("html"))).cast("long").alias("n_chars"))
+    return table(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", F.md5(T.strip_markup(F.col("html"))).alias("digest"))
 
 
 _RUNS = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
 f AS (SELECT *, CASE WHEN line = lag(line) OVER (PARTITION BY doc_id ORDER BY n) THEN 0 ELSE 1 END AS new FROM l),
 g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM f),
-r AS (SELECT doc_id, run, CASE WHEN count(*) >= 3 THEN 1 ELSE count(*) END AS kept FROM g GROUP BY 1, 2)
-SELECT doc_id, CAST(sum(kept) AS BIGINT) AS n_lines FROM r GROUP BY 1"""
+r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS alike, row_number() OVER (PARTITION BY doc_id, run ORDER BY n) AS k FROM g)
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY n)) AS digest FROM r WHERE alike < 3 OR k = 1 GROUP BY 1"""
 
 
 @query(_RUNS)
 def line_run_collapse(spark, sf_dir):
     collapsed = T.collapse_line_runs(F.col("text"))
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.size(F.split(collapsed, "\n")).cast("long").alias("n_lines"))
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(collapsed).alias("digest"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(regexp_replace(text, '<\\|im_end\\|>|<\\|endoftext\\|>|<end_of_utterance>|<eos>|<bos>', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(text, '<\\|(im_end|im_start|endoftext|end|user|assistant|system)\\|>|<eos>|<bos>', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents WHERE text IS NOT NULL")
 def blank_line_and_chat_token_strip(spark, sf_dir):
     cleaned = T.collapse_blank_lines(T.strip_chat_tokens(F.col("text")))
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(cleaned).alias("digest"))
 
 
-_LABELLED = "SELECT o_orderkey AS doc_id, concat('Rechnung', chr(10), '**Rechnungsnummer**: RE-', CAST(o_orderkey AS STRING), chr(10), 'Kundennummer | ', CASE WHEN o_orderkey % 3 = 0 THEN 'nicht angegeben' ELSE CAST(o_custkey AS STRING) END, ' |', chr(10), 'Belegsummen', chr(10), 'Summe: ', CAST(o_orderkey % 900 AS STRING), ',50 EUR', chr(10), 'Bruttobetrag', chr(10), '1.', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0'), ',25', chr(10), 'Zahlungsbedingung: 7 Tage 9,99') AS page, o_custkey, o_orderkey FROM {orders}"
+_LABELLED = "SELECT o_orderkey AS doc_id, concat('Rechnung', chr(10), '**Rechnungsnummer**: RE-', CAST(o_orderkey AS STRING), chr(10), '* Kundennummer ', CASE WHEN o_orderkey % 3 = 0 THEN '[ID fehlt]' ELSE CAST(o_custkey AS STRING) END, '.', chr(10), 'Belegsummen', chr(10), 'Summe: ', CAST(o_orderkey % 900 AS STRING), ',50 EUR', chr(10), 'Bruttobetrag', chr(10), '1.', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0'), ',25', chr(10), 'Zahlungsbedingung: 7 Tage 9,99') AS page, o_custkey, o_orderkey FROM {orders}"
 
 
 @query(f"SELECT doc_id, concat('RE-', CAST(o_orderkey AS VARCHAR)) AS number, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS customer, concat(CAST(o_orderkey % 900 AS VARCHAR), ',50') AS net, concat('1.', lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0'), ',25') AS gross FROM ({duck(_LABELLED)})")
@@ -115,7 +115,14 @@ def image_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", count(F.lit(900), F.col("n_chars")).alias("tokens"))
 
 
-@query()
+_TILES = """WITH d AS (SELECT doc_id, CAST(n_chars AS BIGINT) AS h FROM documents WHERE n_chars IS NOT NULL),
+t AS (SELECT doc_id, h, CASE WHEN h <= 1800 THEN 1 ELSE 1 + greatest(0, CAST(ceil((h - 1170) / 1029.0) AS BIGINT)) END AS n FROM d),
+e AS (SELECT doc_id, h, CAST(unnest(range(n)) AS INTEGER) AS tile FROM t)
+SELECT doc_id, tile, CAST(0 AS BIGINT) AS x0, CASE WHEN h <= 1800 THEN 0 ELSE least(tile * 1029, h - 1170) END AS y0, CAST(900 AS BIGINT) AS x1,
+       CASE WHEN h <= 1800 THEN h ELSE least(least(tile * 1029, h - 1170) + 1170, h) END AS y1 FROM e"""
+
+
+@query(_TILES)
 def tile_plan(spark, sf_dir):
     from ..functions.similarity import tile_plan as plan
 

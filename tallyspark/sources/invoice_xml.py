@@ -64,22 +64,33 @@ def parse(df: DataFrame, xml_col: str = "xml", id_col: str = "doc_id") -> DataFr
     return df.select(id_col, F.explode(F.array(*cells)).alias("c")).select(id_col, "c.*")
 
 
+def row_fragments(xml: Column, name: str) -> Column:
+    """The elements of local name ``name``, in document order, each as a document with the root's name spaces."""
+    open_, close = rf"<(?:[\w.-]+:)?{name}(?=[\s/>])", rf"</(?:[\w.-]+:)?{name}\s*>"
+    found = F.regexp_extract_all(xml, F.lit(rf"(?s)({open_}[^>]*/>|{open_}.*?{close})"), F.lit(1))
+    spaces = F.array_join(F.array_distinct(F.regexp_extract_all(xml, F.lit(r"""(xmlns(?::[\w.-]+)?\s*=\s*(?:"[^"]*"|'[^']*'))"""), F.lit(1))), " ")
+    return F.transform(found, lambda row: F.concat(F.lit("<row "), spaces, F.lit(">"), row, F.lit("</row>")))
+
+
 def parse_rows(df: DataFrame, group: str, xml_col: str = "xml", id_col: str = "doc_id") -> DataFrame:
-    """Cells of the rows of ``group``: ``doc_id, row_group, j, field_key, gt_present, gt_norm``.
+    """Cells of the rows of ``group``: ``doc_id, row_group, j, field_key, gt_present, gt_norm``, absent ones too.
 
-    Each cell's texts are taken in document order; rows that leave a cell out are told by counting elements.
+    A row that leaves a cell out has it as absent; an element without text is present and empty. The first
+    of several elements counts. ``j`` counts the rows from 0; an invoice without rows has none.
     """
-    xml, rows = F.col(xml_col), GROUP_ROWS[group]
-    n = _by_version(xml, rows, lambda p: F.xpath_int(xml, F.lit(f"count({p})")))
-    counted = df.withColumn("n_rows", n).filter("n_rows > 0")
-    out = None
+    xml, path = F.col(xml_col), GROUP_ROWS[group]
+    name = re.sub(r"\[.*", "", path.rsplit("/", 1)[-1])
+    old = F.xpath_boolean(xml, F.lit(f'/*[local-name()="{OLDER_NAMES["CrossIndustryInvoice"]}"]'))
+    fragments = F.when(old, row_fragments(xml, OLDER_NAMES.get(name, name))).otherwise(row_fragments(xml, name))
+    rows = df.select(id_col, old.alias("old"), F.posexplode(fragments).alias("j", "row"))
+    cells = []
     for g, key, _, kind, reader, path in GROUP_FIELDS:
         if g != group:
             continue
-        full = f"{rows}/{path}"
-        texts = _by_version(xml, full, lambda p: _texts(xml, p))
-        whole = F.size(texts) == F.col("n_rows")
-        cell = counted.filter(whole).select(id_col, F.lit(group).alias("row_group"), F.posexplode(texts).alias("j", "raw"))
-        cell = cell.select(id_col, "row_group", "j", F.lit(key).alias("field_key"), F.lit(True).alias("gt_present"), _gold(key, kind, reader, strip(F.col("raw"))).alias("gt_norm"))
-        out = cell if out is None else out.unionByName(cell)
-    return out
+        at = lambda read: F.when(F.col("old"), read("/row/*/" + xpath(path, older=True, root=False))).otherwise(read("/row/*/" + xpath(path, root=False)))  # noqa: B023, E731
+        present = at(lambda p: F.xpath_boolean("row", F.lit(p)))
+        raw = strip(at(lambda p: F.xpath_string("row", F.lit(p))))
+        norm = F.when(present, F.when(raw == "", "").otherwise(_gold(key, kind, reader, raw)))
+        cells.append(F.struct(F.lit(key).alias("field_key"), present.alias("gt_present"), norm.alias("gt_norm")))
+    long = rows.select(id_col, F.lit(group).alias("row_group"), "j", F.explode(F.array(*cells)).alias("c"))
+    return long.select(id_col, "row_group", "j", "c.*")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import normalize
@@ -25,6 +26,41 @@ def test_invoice_xml(spark):
     assert [r.gt_norm for r in rows] == ["19", "7"]
 
 
+TAX = "<ram:ApplicableTradeTax>{}</ram:ApplicableTradeTax>"
+ROWS = """<rsm:{root} xmlns:rsm="a" xmlns:ram="b"><rsm:{deal}><ram:{part}>{rows}</ram:{part}></rsm:{deal}></rsm:{root}>"""
+
+
+def test_a_row_that_lacks_a_cell_keeps_the_others(spark):
+    from tallyspark.plans.registry import OLDER_NAMES
+
+    names = dict(root="CrossIndustryInvoice", deal="SupplyChainTradeTransaction", part="ApplicableHeaderTradeSettlement")
+    inner = ["<ram:RateApplicablePercent>19.00</ram:RateApplicablePercent><ram:CategoryCode>S</ram:CategoryCode>", "<ram:CategoryCode>Z</ram:CategoryCode>", "<ram:RateApplicablePercent/><ram:CategoryCode>E</ram:CategoryCode>"]
+    new = ROWS.format(**names, rows="".join(map(TAX.format, inner)))
+    old = ROWS.format(**{k: OLDER_NAMES.get(v, v) for k, v in names.items()}, rows="".join(TAX.format(x.replace("RateApplicablePercent", OLDER_NAMES.get("RateApplicablePercent", "RateApplicablePercent"))) for x in inner))
+    df = spark.createDataFrame([(1, new), (2, old), (3, "<x/>"), (4, None)], "doc_id long, xml string")
+    got = {(r.doc_id, r.j): (r.gt_present, r.gt_norm) for r in invoice_xml.parse_rows(df, "vat_breakdown").filter("field_key = 'rate_percent'").collect()}
+    assert got == {(d, j): v for d in (1, 2) for j, v in enumerate([(True, "19"), (False, None), (True, "")])}
+
+
+def test_text_of_readers(spark):
+    from tallyspark.functions import text as T
+
+    values = {"[Name fehlt]": None, "None such GmbH": "None such GmbH", "** 471102": "471102", "/Leistungsempfänger": "Leistungsempfänger", ":": None, "N/A": None, " `X`. ": "X`"}
+    df = spark.createDataFrame(list(values.items()), "raw string, want string")
+    assert not df.filter(~T.clean_value(F.col("raw")).eqNullSafe(F.col("want"))).collect()
+    page = "**Steuernummer:** 201/113\nRechnungsnummer:\nKundennummer 5\n* **Datum**: 1.2.2024\nNr. A-7 vom 03.04.2024\n## Käufer\nName: ACME\nOrt: X\n\nName: Other"
+    one = spark.createDataFrame([(page,)], "t string").select(
+        *(T.labelled(F.col("t"), x).alias(x) for x in ("Steuernummer", "Rechnungsnummer", "Kundennummer", "Datum")), T.named_in_section(F.col("t"), "Käufer").alias("buyer"), *T.cross_references(F.col("t"))
+    ).first()
+    assert list(one) == ["201/113", None, "5", "1.2.2024", "ACME", "A-7", "03.04.2024"]
+    block = "\n".join(["a", "b", "c"] * 4 + ["d", "e", "e", "f", "f", "f"])
+    cells = "<fcel>Summe:<fcel>5<nl><fcel>a<ecel><fcel>b<srow>c<nl><ecel><nl>"
+    marks = "<doctag><text><loc_4>x</text>\n<b>y</b></doctag>"
+    got = spark.createDataFrame([(block, cells, marks)], "b string, c string, m string").select(T.collapse_blocks(F.col("b")), T.collapse_line_runs(F.col("b")), T.table_rows(F.col("c")), T.strip_markup(F.col("m"))).first()
+    assert got[0] == "a\nb\nc\nd\ne\ne\nf\nf\nf" and got[1].endswith("d\ne\ne\nf")
+    assert got[2] == "Summe: 5\na b c" and got[3] == "x\n<b>y</b>"
+
+
 def test_printed_values(spark):
     cases = {
         "MONEY": {"529,87": "529.87", "1.234,56": "1234.56", "1,234.56": "1234.56", "€529,87": "529.87", "EUR 529,87": "529.87", "1.234": "1.23", "0.125": "0.12", "abc": None, "": None},
@@ -71,4 +107,12 @@ def test_files(spark, tmp_path):
         (tmp_path / name).write_text(name)
     found = files.walk(spark, str(tmp_path))
     assert {(r.stem, r.extension) for r in found.collect()} == {("a", "pdf"), ("a", "xml"), ("b", "pdf")}
+    assert {(r.flavor, r.second, r.nested) for r in found.collect()} == {("(root)", "(none)", "")}
+    (tmp_path / "v2/de/x/y").mkdir(parents=True)
+    (tmp_path / "v2/de/x/y/c.pdf").write_text("c")
+    assert [(r.flavor, r.second, r.nested) for r in files.walk(spark, str(tmp_path / "")).filter("stem = 'c'").collect()] == [("v2", "de", "x/y")]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none/README.md").write_text("x")
+    with pytest.raises(ValueError):
+        files.walk(spark, str(tmp_path / "none"))
     assert {(r.stem, r.xml_path is None) for r in files.paired(found, "pdf", "xml").collect()} == {("a", False), ("b", True)}
