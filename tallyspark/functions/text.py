@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .unicode import nullif_empty, strip
+from .unicode import nullif_empty, strip, unicode_fold
 
 # The mark of a page in a transcript, tokens that chat models leave in a text, element names of
 # document markup, and cell marks of table markup.
@@ -103,17 +103,27 @@ def labelled(text: Column, label: str) -> Column:
     return clean_value(F.regexp_extract(text, label_pattern(label), 1))
 
 
-def adapted(text: Column, model: Column) -> Column:
-    """A transcript as its reader's kind of output asks for: document markup, table cells, repeated blocks,
-    or nothing but chat tokens and blank lines."""
-    plain = collapse_blank_lines(strip_chat_tokens(text))
-    name = F.lower(model)
-    return (
-        F.when(name.contains("docling"), collapse_line_runs(strip_markup(text)))
-        .when(name.contains("mineru"), table_rows(text))
-        .when(name.contains("paligemma"), collapse_blocks(text))
-        .otherwise(plain)
-    )
+# Names of models whose output is document markup, table cells or repeats itself.
+READERS = {"markup": ["granite-docling", "smoldocling"], "cells": ["MinerU", "mineru"], "repeats": ["paligemma", "PaliGemma"]}
+
+
+def passed_through(text: Column, nfc: bool = True) -> Column:
+    """In normal form C, without chat tokens and runs of blank lines."""
+    return collapse_blank_lines(strip_chat_tokens(unicode_fold(text, "NFC") if nfc else text))
+
+
+def adapted(text: Column, model: Column, nfc: bool = True) -> Column:
+    """A transcript as the kind of output of its reader asks for, and passed through.
+
+    The normal form comes first, so that no Python function reads what a conditional one gives.
+    """
+    text = unicode_fold(text, "NFC") if nfc else text
+    reads = {"markup": lambda t: collapse_line_runs(strip_markup(t)), "cells": table_rows, "repeats": collapse_blocks}
+    out = text
+    for kind, names in reversed(READERS.items()):
+        named = F.reduce(F.array(*map(F.lit, names)), F.lit(False), lambda found, name: found | F.contains(model, name))
+        out = F.when(named, reads[kind](text)).otherwise(out)
+    return passed_through(out, nfc=False)
 
 
 def cross_references(text: Column) -> tuple[Column, Column]:
@@ -168,3 +178,68 @@ def amount_after(window: Column, label: str) -> Column:
 def language_hits(text: Column, words: list[str]) -> Column:
     """How many of ``words`` the text holds."""
     return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w))).cast("long")
+
+
+# Profiles by words of a file name or stem, in order of precedence.
+NAME_PROFILES = {"BASICWL": "BASIC[ _-]?WL", "MINIMUM": "MINIMUM", "BASIC": "BASIC", "EN16931": "EN_?16931", "EXTENDED": "EXTENDED|ERWEITERT", "XRECHNUNG": "XRECHNUNG"}
+STEM_PROFILES = ["EN16931", "XRECHNUNG", "EXTENDED", "BASICWL", "BASIC", "MINIMUM", "COMFORT"]
+
+
+def profile_of_prefix(stem: Column) -> Column:
+    """The profile that a stem begins with."""
+    return F.when(stem.startswith("EN16931_"), "EN16931").when(stem.startswith("XRECHNUNG_"), "XRECHNUNG").otherwise("UNKNOWN")
+
+
+def profile_of_name(name: Column) -> Column:
+    """The first profile whose word stands alone in a file name; null if none does."""
+    alone = lambda words: name.rlike(rf"(?i)(?<![^_/-])(?:{words})(?![^_/.-])")
+    return F.coalesce(*(F.when(alone(words), F.lit(profile)) for profile, words in NAME_PROFILES.items()))
+
+
+def profile_of_stem(stem: Column) -> Column:
+    """The first profile that a stem holds anywhere, in any case of letters."""
+    return F.coalesce(*(F.when(F.upper(stem).contains(tag), F.lit(tag)) for tag in STEM_PROFILES), F.lit("OTHER"))
+
+
+def shown_amount(value: Column, currency: Column) -> Column:
+    """An amount with separators of thousands, two places and its currency; what is no number stays as it is."""
+    number = value.try_cast("double")
+    return F.concat_ws(" ", F.coalesce(F.format_number(number, 2), value), currency)
+
+
+def context_window(text: Column, needle: Column, reach: int = 40) -> Column:
+    """The text around the first place of ``needle``, blanks collapsed, marked where it is cut; null without one."""
+    flat = strip(F.regexp_replace(text, r"\s+", " "))
+    at = F.instr(F.lower(flat), F.lower(needle))
+    start = F.greatest(at - 1 - reach, F.lit(0))
+    end = F.least(F.length(flat), at - 1 + F.length(needle) + reach)
+    part = F.substring(flat, start + 1, end - start)
+    return F.when((at > 0) & (needle != ""), F.concat(F.when(start > 0, "…").otherwise(""), part, F.when(end < F.length(flat), "…").otherwise("")))
+
+
+def plain_form(text: Column) -> Column:
+    """Lower case, without emphasis, umlauts spelled out, blanks collapsed: how answers are looked for."""
+    low = F.regexp_replace(F.lower(text), "[*`]+", "")
+    for letter, spelled in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+        low = F.replace(low, F.lit(letter), F.lit(spelled))
+    return strip(F.regexp_replace(low, r"\s+", " "))
+
+
+def answer_forms(value: Column) -> Column:
+    """The plain forms in which a page may print a stored value: amounts grouped either way, dates in four
+    orders, account numbers in groups of four."""
+    v = strip(value)
+    day = v.rlike(r"^\d{4}-\d\d-\d\d$")
+    y, m, d = F.substring(v, 1, 4), F.substring(v, 6, 2), F.substring(v, 9, 2)
+    short = lambda part: part.cast("int").cast("string")
+    dates = F.array(F.concat_ws(".", d, m, y), F.concat_ws(".", short(d), short(m), y), F.concat_ws("/", d, m, y), F.concat_ws("/", m, d, y))
+    amount = v.rlike(r"^-?\d+\.\d\d$")
+    whole, cents = F.substring_index(v, ".", 1), F.substring_index(v, ".", -1)
+    grouped = lambda mark: F.regexp_replace(whole, r"(?<=\d)(?=(\d{3})+$)", mark)
+    amounts = F.array(F.concat_ws(",", whole, cents), F.concat_ws(",", grouped("."), cents), F.concat_ws(".", grouped(","), cents))
+    bare = F.replace(v, F.lit(" "), F.lit(""))
+    account = bare.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$")
+    accounts = F.array(bare, F.regexp_replace(bare, r"(.{4})(?=.)", "$1 "))
+    none = F.expr("CAST(array() AS array<string>)")
+    forms = F.concat(F.array(v), F.when(day, dates).otherwise(none), F.when(amount, amounts).otherwise(none), F.when(account, accounts).otherwise(none))
+    return F.when(v != "", F.array_distinct(F.transform(forms, plain_form)))

@@ -31,10 +31,15 @@ def unicode_fold(text: Column, form: str = "NFC", casefold: bool = False) -> Col
     return _folder(form, casefold)(text)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(text, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", "")
 
 
 def nullif_empty(text: Column) -> Column:
-    return F.when(text != "", text)
+    return F.nullif(text, F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import normalize
-from ..functions.unicode import nullif_empty, strip, unicode_fold
+from ..functions.unicode import let, nullif_empty, strip, unicode_fold
 
 # Typographic characters and what they are folded to; the last two go.
 FOLD_FROM = "    ‐‑‒–—−‘’“”​­"
@@ -27,11 +27,6 @@ STRONG = 4
 POLICIES = {"STRING": "text", "CODE": "code", "MONEY": "money", "DATE": "date", "RATE": "rate"}
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def fold(text: Column, unicode: bool = True) -> Column:
     folded = unicode_fold(text, "NFKC") if unicode else text
     return F.translate(folded, FOLD_FROM, FOLD_TO)

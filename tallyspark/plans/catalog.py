@@ -26,4 +26,4 @@ def query(oracle: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import adjudication_queries, alignment_queries, corpus_queries, evidence_queries, metric_queries, text_queries  # noqa: F401
+    from . import adjudication_queries, alignment_queries, corpus_queries, evidence_queries, metric_queries, record_queries, text_queries  # noqa: F401
