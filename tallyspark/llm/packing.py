@@ -25,6 +25,8 @@ from .scratch import Scratch
 from .tokens import encoder, gathered
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
+#: Text bytes encoded together: less than could be, as the stage before may have left the executor's heap full.
+TOGETHER = 4 << 20
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
@@ -73,7 +75,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int, id_co
 
     def cut(batches):
         enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
-        for batch in gathered(batches, "text"):
+        for batch in gathered(batches, "text", TOGETHER):
             ids, totals = enc.encode_batch(batch.column("text"), end_id)
             first = (totals - 1) % limit + 1
             numbers = 1 + (totals - first) // limit

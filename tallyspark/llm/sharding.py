@@ -3,8 +3,8 @@
 The items to place are few whatever the corpus: groups of equal texts above a share of all bytes, of which
 there can be at most ``shards * GRAIN``, and bundles of the smaller groups, by hash, ``shards * BUNDLES``
 of them. Items go largest first to the shard where the dot product of the item with the residual capacity
-is highest, the vectors being in shares of all bytes, tokens and rows. Groups of more than a quarter of a
-shard are cut by row, as no shard could hold a third of the corpus and stay near the others in bytes.
+is highest, the vectors being in shares of all bytes, tokens (blanks and one) and rows. Only groups above the
+mean bytes of a shard are cut by row, as none could hold a third of the corpus and stay near the others in bytes.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: A group above 1 / GRAIN of a shard's bytes, a grain, is an item of its own; above WHOLE grains, it is cut into grains.
-GRAIN, WHOLE = 64, 16
+#: A group above 1 / GRAIN of a shard's bytes, a grain, is an item of its own; above WHOLE grains, a shard's mean
+#: bytes, no shard could hold it under the law, and it is cut into grains.
+GRAIN, WHOLE = 64, 64
 #: Bundles of smaller groups for each shard.
 BUNDLES = 512
 
@@ -45,7 +46,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row, under the law ``bytes``.
 
     Size is the text's UTF-8 bytes plus 8; a null text counts as empty. Equal texts share a shard unless
-    their group is above a quarter of a shard. Null and repeated ids are rows of their own; other columns are
+    their group is above the mean bytes of a shard. Null and repeated ids are rows of their own; other columns are
     ignored; an empty table gives no rows. Slots follow a hash of the row within each shard.
     """
     spark = docs.sparkSession

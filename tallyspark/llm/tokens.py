@@ -26,7 +26,7 @@ from .scratch import give_back
 #: Words that an encoder keeps with their ids, and letters of a word that skips the pretokenizer.
 KNOWN_WORDS, LETTERS_ALONE = 1_000_000, 64
 #: Text bytes that are cut and gathered together.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 8 << 20
 
 #: Signs that no rule of the pretokenizers joins to the letters before them; the apostrophe begins short forms.
 SIGNS = "".join(c for c in string.punctuation if c != "'")
@@ -217,15 +217,15 @@ def forget() -> None:
     give_back()
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in batches of some ``SLICE_BYTES`` of the text ``column``, or of one batch."""
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of some ``most`` bytes of the text ``column``, or of one batch."""
     held, size = [], 0
     for batch in batches:
         if not len(batch):
             continue
         held.append(batch)
         size += batch.column(column).nbytes
-        if size >= SLICE_BYTES:
+        if size >= most:
             yield pa.concat_batches(held)
             held, size = [], 0
     if held:

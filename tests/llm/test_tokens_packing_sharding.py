@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -118,6 +120,54 @@ def test_sharding(spark, docs, no_docs):
     assert sharding.shard_by_bytes(no_docs, 3).count() == 0
 
 
+def test_items_go_where_the_dot_product_is_highest():
+    rng = random.Random(2)
+    for _ in range(30):
+        shards = rng.randint(1, 6)
+        items = [[rng.randint(1, 90), rng.randint(1, 30), rng.randint(1, 9)] for _ in range(rng.randint(0, 40))]
+        totals = [max(1, sum(i[d] for i in items)) for d in range(3)]
+        left, want = [[1.0] * 3 for _ in range(shards)], {}
+        for k in sorted(range(len(items)), key=lambda k: (-items[k][0], k)):
+            share = [items[k][d] / totals[d] * shards for d in range(3)]
+            fits = [s for s in range(shards) if left[s][0] >= share[0] / 2]
+            score = (lambda s: sum(a * b for a, b in zip(left[s], share))) if fits else (lambda s: left[s][0])  # noqa: B023
+            best = max(fits or range(shards), key=lambda s: (round(score(s), 9), -s))
+            want[k] = score(best)
+            got = int(sharding.place_items(np.array(items).reshape(-1, 3), shards)[k])
+            assert got in (fits or range(shards)) and score(got) == pytest.approx(want[k])
+            left[got] = [a - b for a, b in zip(left[got], share)]
+
+
+def test_groups_up_to_a_shard_stay_together(spark):
+    rows = [(i, "nearly a shard " * 40 if i < 30 else f"text {i} " * 30) for i in range(2000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
+    shards_of, sizes = defaultdict(set), Counter()
+    for r in got:
+        shards_of[r.text_crc32].add(r.shard)
+        sizes[r.shard] += r.size
+    assert all(len(s) == 1 for s in shards_of.values()) and max(sizes.values()) < 1.02 * sum(sizes.values()) / 24
+
+
+def test_the_files_are_laid_out_as_said(spark):
+    import pyarrow.parquet as pq
+
+    scratch = Scratch(spark, "layout")
+    rows = [(i, f"text of number {i} " * 30) for i in range(6000)]
+    token_output.write_token_table(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), scratch.path("a"), FILES[0], end_id=1)
+    found = [f for f in spark.read.parquet(scratch.path("a")).inputFiles()]
+    metas = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in found]
+    assert sum(m.num_rows for m in metas) == 6000
+    for meta in metas:
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 80 << 20
+            for c in range(group.num_columns):
+                column = group.column(c)
+                assert column.has_offset_index and column.has_column_index
+                assert any("DICTIONARY" in e for e in column.encodings) == column.path_in_schema.startswith("ids")
+                assert column.path_in_schema.startswith("ids") or "DELTA_BINARY_PACKED" in column.encodings
+
+
 def test_a_third_of_all_rows_alike_stays_balanced(spark):
     rows = [(i, "hot text " * 20 if i % 3 == 0 else f"text {i} " * (i % 40)) for i in range(3000)]
     got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
