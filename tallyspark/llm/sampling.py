@@ -41,7 +41,7 @@ from .tokens import forget
 NEVER = -1e8
 GAP = "▁"
 #: Texts that share the lattices of their words.
-BATCH = 1300
+BATCH = 1800
 
 
 class Vocabulary:
