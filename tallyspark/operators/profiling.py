@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import ranked
 from .scoring import count_if
 
 
@@ -59,31 +60,61 @@ def unknown(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """SHA-256 of a side's names in order, one to a line."""
-    return df.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(name).cast("string"))), "\n"), 256).alias("fingerprint"))
+    """SHA-256 of a side's names in order, one to a line; nulls go, and no rows give no fingerprint.
+
+    The hash is sequential by its law, so a side passes one task, sorted with spilling and read as a stream.
+    """
+    keys = [f"k{i}" for i in range(len(by))]
+    named = df.select(F.struct(F.lit(0), *(F.col(b).alias(k) for b, k in zip(by, keys))).alias("side"), F.col(name).cast("string").alias("name"))
+    streamed = named.repartition("side").sortWithinPartitions("side", "name").mapInArrow(_digests, f"side {named.schema['side'].dataType.simpleString()}, fingerprint string")
+    return streamed.select(*(F.col(f"side.{k}").alias(b) for b, k in zip(by, keys)), "fingerprint")
+
+
+def _digests(batches):
+    """The digest of each run of rows of one side."""
+    import hashlib
+
+    import pyarrow as pa
+
+    def row(side, digest):
+        return pa.RecordBatch.from_arrays([side, pa.array([digest.hexdigest()])], ["side", "fingerprint"])
+
+    last, digest, begun = None, None, False
+    for batch in batches:
+        sides, names = batch.column(0), batch.column(1).to_pylist()
+        for i, (side, name) in enumerate(zip(sides.to_pylist(), names)):
+            if digest is None or side != last.to_pylist()[0]:
+                if digest is not None:
+                    yield row(last, digest)
+                last, digest, begun = sides.slice(i, 1), hashlib.sha256(), False
+            if name is not None:
+                digest.update(("\n" * begun + name).encode())
+                begun = True
+    if digest is not None:
+        yield row(last, digest)
 
 
 def seal_split(df: DataFrame, key: str, strata: list[str], fraction: float, seed: int) -> DataFrame:
     """``side`` of each row: in every stratum the first share, rounded half to even, in an order by hash, is ``val``."""
     order = F.sha2(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")), 256)
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(order, key))
-    size = F.count("*").over(Window.partitionBy(*strata))
-    return df.withColumn("side", F.when(rank <= F.bround(size * F.lit(fraction)), "val").otherwise("train"))
+    found = ranked(df, [F.col(s) for s in strata], [order, F.col(key)])
+    return found.select("row.*", F.when(F.col("rank") < F.bround(F.col("size") * F.lit(fraction)), "val").otherwise("train").alias("side"))
 
 
 def spread_sample(df: DataFrame, key: str, by: str, wanted: int) -> DataFrame:
     """``wanted`` rows of each group, evenly spread over its order of keys."""
-    rank, size = F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1, F.count("*").over(Window.partitionBy(by))
-    ranked = df.withColumns({"r": rank, "n": size})
     # Row r is taken if it is the floor of k * n / wanted for some k.
-    k = F.ceil(F.col("r") * wanted / F.col("n"))
-    return ranked.filter((F.floor(k * F.col("n") / wanted) == F.col("r")) & (k < wanted)).drop("r", "n")
+    k = F.ceil(F.col("rank") * wanted / F.col("size"))
+    taken = (F.floor(k * F.col("size") / wanted) == F.col("rank")) & (k < wanted)
+    return ranked(df, [F.col(by)], [F.col(key)]).filter(taken).select("row.*")
 
 
 def stable_ids(items: DataFrame, known: DataFrame, key: str, prefix: Column) -> DataFrame:
     """Known items keep their id; new ones get the next free numbers under their prefix, in order of key."""
     number = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
     used = known.groupBy(F.regexp_replace("id", r"\d+$", "").alias("prefix")).agg(F.max(number).alias("last"))
-    joined = items.withColumn("prefix", prefix).join(known.select(key, "id"), key, "left").join(used, "prefix", "left")
-    nth = F.row_number().over(Window.partitionBy("prefix", F.col("id").isNull()).orderBy(key)) + F.coalesce("last", F.lit(0))
-    return joined.select(key, F.coalesce("id", F.concat("prefix", F.lpad(nth.cast("string"), 3, "0"))).alias("id"))
+    joined = items.withColumn("prefix", prefix).join(known.select(key, "id"), key, "left").select(key, "prefix", "id")
+    fresh = ranked(joined.filter("id IS NULL"), [F.col("prefix")], [F.col(key)]).select("row.*", "rank").join(used, "prefix", "left")
+    nth = F.col("rank") + 1 + F.coalesce("last", F.lit(0))
+    numbered = fresh.select(key, F.concat("prefix", F.lpad(nth.cast("string"), F.greatest(F.lit(3), F.length(nth.cast("string"))), F.lit("0"))).alias("id"))
+    return joined.filter("id IS NOT NULL").select(key, "id").unionByName(numbered)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence
+from ..operators import evidence, leaking
 from .catalog import query
 from .inputs import _amount, duck, frame
 
@@ -66,7 +66,6 @@ def printed_date_variants(spark, sf_dir):
 
 @query("SELECT doc_id, min(item_id) AS item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND length(b.text) >= 4 GROUP BY 1")
 def leak_scan(spark, sf_dir):
-    """Reference passages printed inside texts. The passages are few by their nature, so they are broadcast."""
+    """Reference passages printed inside texts."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    held = docs.select("doc_id", "text").join(F.broadcast(items.filter(F.length("text") >= 4).select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage"))
-    return held.groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
+    return leaking.passages_in(docs, items.filter(F.length("text") >= 4), "doc_id", "text", "item_id", "text")
