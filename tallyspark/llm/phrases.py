@@ -10,7 +10,7 @@ document of a smaller id.
 
 A phrase is held as the codes of its words, CODE_BITS bits of a hash each, and automata run over codes;
 what they find beyond the true phrases costs candidates, never a wrong removal, as windows are compared
-by a 64-bit hash of their words' 64-bit hashes.
+by 128 bits: two hashes of their words' 64-bit hashes, each by a polynomial of its own.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import by_document, by_shard, mix, repeated_marks, runs, shards_for, unpack
+from .packed import by_document, by_shard, mix, repeated_marks, shards_for, unpack
 from .scratch import Scratch, row_key, sliced
 
 #: Words of a phrase, and bits of a word's code; a phrase is one 64-bit mark.
 PHRASE, CODE_BITS = 5, 12
 
-ROWS = "kind int, shard int, key_id long, key_hash long, doc_id long, n_words long, kept_sha256 string, text binary, windows binary, ids binary, hashes binary, starts binary"
+ROWS = "kind int, shard int, key_id long, key_hash long, doc_id long, n_words long, kept_sha256 string, text binary, windows binary, checks binary, ids binary, hashes binary, starts binary"
 NAMES = [c.split()[0] for c in ROWS.split(", ")]
 KINDS = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in ROWS.split(", ")]
 
@@ -70,15 +70,31 @@ def chosen(marks: np.ndarray, among: int) -> np.ndarray:
     return np.unique(least_of_each(marks, among))
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+#: Odd factors of the two polynomials over a window's words.
+FACTORS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def window_hashes(hashes: np.ndarray, width: int, factor: int = FACTORS[0]) -> np.ndarray:
     """A 64-bit hash of the ``width`` words from each word on."""
     n = max(0, len(hashes) - width + 1)
-    out = np.zeros(n, dtype=np.uint64)
+    out, mixed = np.zeros(n, dtype=np.uint64), mix(hashes ^ np.uint64(factor))
     for k in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+        out = out * np.uint64(factor) + mixed[k : k + n]
     return mix(out)
 
 
+def later(windows: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether an equal window, by both hashes, belongs to a smaller id."""
+    order = np.lexsort((ids, checks, windows))
+    w, c, i = windows[order], checks[order], ids[order]
+    new = np.ones(len(w), dtype=bool)
+    new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
+    first = np.nonzero(new)[0]
+    out = np.empty(len(w), dtype=bool)
+    out[order] = i > np.repeat(i[first], np.diff(np.append(first, len(w))))
+    return out
+
+
 def automaton(marks: np.ndarray) -> ahocorasick.Automaton:
     """An Aho-Corasick automaton of the phrases ``marks``, over strings of one character for each word."""
     out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -128,7 +144,7 @@ def _cut(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataF
 
     def locate(batches):
         for batch in sliced(batches):
-            rows, windows, owner, at, keys = [], [], [], [], []
+            rows, windows, checks, owner, at, keys = [], [], [], [], [], []
             told = [None if m is None else np.frombuffer(b"".join(m), "<u8") for m in batch.column("marks").to_pylist()]
             heard = [m for m in told if m is not None]
             machine = automaton(np.unique(np.concatenate(heard))) if heard else None
@@ -141,35 +157,30 @@ def _cut(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataF
                     found = np.array([end - PHRASE + 1 for end, _ in machine.iter(coded)], dtype=np.int64)
                     starts = starts_in_reach(found, len(words), width)
                 if not len(starts):
-                    rows.append((0, None, None, None, doc_id, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None, None, None, None))
+                    rows.append((0, None, None, None, doc_id, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None, None, None, None, None))
                     continue
-                rows.append((1, None, key_id, key_hash, doc_id, None, None, text, None, None, None, None))
+                rows.append((1, None, key_id, key_hash, doc_id, None, None, text, None, None, None, None, None))
                 windows.append(window_hashes(hashes, width)[starts])
+                checks.append(window_hashes(hashes, width, FACTORS[1])[starts])
                 owner.append(np.full(len(starts), len(keys)))
                 at.append(starts)
                 keys.append((key_id, key_hash))
             if keys:
-                w, o, s = np.concatenate(windows), np.concatenate(owner), np.concatenate(at)
+                w, c, o, s = np.concatenate(windows), np.concatenate(checks), np.concatenate(owner), np.concatenate(at)
                 ids, hashes = (np.array(x, dtype=np.int64) for x in zip(*keys))
-                order = np.lexsort((ids[o], w))
-                first, length = runs(w[order])
-                least = np.repeat(ids[o[order]][first], length)
-                gone = np.empty(len(w), dtype=bool)
-                gone[order] = ids[o[order]] > least
+                gone = later(w, c, ids[o])
                 for i, h, m in by_document(s[gone].astype("<i4"), ids[o[gone]], hashes[o[gone]]):
-                    rows.append((3, None, i, h, None, None, None, None, None, None, None, m))
-                w, o, s = w[~gone], o[~gone], s[~gone]
+                    rows.append((3, None, i, h, None, None, None, None, None, None, None, None, m))
+                w, c, o, s = w[~gone], c[~gone], o[~gone], s[~gone]
                 for shard, pick in by_shard(w, shards):
-                    rows.append((2, shard, None, None, None, None, None, None, w[pick].tobytes(), ids[o[pick]].tobytes(), hashes[o[pick]].tobytes(), s[pick].astype("<i4").tobytes()))
+                    rows.append((2, shard, None, None, None, None, None, None, w[pick].tobytes(), c[pick].tobytes(), ids[o[pick]].tobytes(), hashes[o[pick]].tobytes(), s[pick].astype("<i4").tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], NAMES)
 
     def settle(table: pa.Table) -> pa.Table:
-        w, ids = unpack(table["windows"], "<u8"), unpack(table["ids"], "<i8")
+        w, c, ids = unpack(table["windows"], "<u8"), unpack(table["checks"], "<u8"), unpack(table["ids"], "<i8")
         hashes, starts = unpack(table["hashes"], "<i8"), unpack(table["starts"], "<i4")
-        order = np.lexsort((ids, w))
-        first, length = runs(w[order])
-        gone = order[ids[order] > np.repeat(ids[order][first], length)]
+        gone = later(w, c, ids)
         rows = list(by_document(starts[gone], ids[gone], hashes[gone]))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], ["key_id", "key_hash", "starts"])
 
@@ -192,7 +203,7 @@ def _cut(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataF
     key = ["key_id", "key_hash"]
     stream = scratch.write(keyed.join(repeated, key, "left").mapInArrow(locate, ROWS), "stream")
     scratch.drop("repeated")
-    removed = stream.filter("kind = 3").select(*key, "starts").union(stream.filter("kind = 2").select("shard", "windows", "ids", "hashes", "starts").groupBy("shard").applyInArrow(settle, "key_id long, key_hash long, starts binary"))
+    removed = stream.filter("kind = 3").select(*key, "starts").union(stream.filter("kind = 2").select("shard", "windows", "checks", "ids", "hashes", "starts").groupBy("shard").applyInArrow(settle, "key_id long, key_hash long, starts binary"))
     removed = scratch.write(removed.groupBy(*key).agg(F.collect_list("starts").alias("starts")), "removed")
     pending = stream.filter("kind = 1").select(*key, "doc_id", "text").join(removed, key, "left")
     done = stream.filter("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
