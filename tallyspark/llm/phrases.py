@@ -10,7 +10,7 @@ document of a smaller id.
 
 A phrase is held as the codes of its words, CODE_BITS bits of a hash each, and automata run over codes;
 what they find beyond the true phrases costs candidates, never a wrong removal, as windows are compared
-by 128 bits: two hashes of their words' 64-bit hashes, each by a polynomial of its own.
+by 96 bits: two hashes of their words' 64-bit hashes, each by a polynomial of its own, the second cut to 32 bits.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import by_document, by_shard, mix, repeated_marks, shards_for, unpack
+from .packed import by_document, by_shard, mix, repeated_marks, runs, shards_for, unpack
 from .scratch import Scratch, row_key, sliced
 
 #: Words of a phrase, and bits of a word's code; a phrase is one 64-bit mark.
 PHRASE, CODE_BITS = 5, 12
 
-ROWS = "kind int, shard int, key_id long, key_hash long, doc_id long, n_words long, kept_sha256 string, text binary, windows binary, checks binary, ids binary, hashes binary, starts binary"
+ROWS = "kind int, shard int, key_id long, key_hash long, doc_id long, n_words long, kept_sha256 string, text binary, windows binary, checks binary, ids binary, hashes binary, counts binary, starts binary"
 NAMES = [c.split()[0] for c in ROWS.split(", ")]
 KINDS = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in ROWS.split(", ")]
 
@@ -95,6 +95,16 @@ def later(windows: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> np.ndarra
     return out
 
 
+def packed_starts(starts: np.ndarray) -> bytes:
+    """Starts as steps from one to the next, their bytes by place, so that they compress."""
+    return np.diff(starts.astype("<i4"), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked_starts(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int32)
+
+
 def automaton(marks: np.ndarray) -> ahocorasick.Automaton:
     """An Aho-Corasick automaton of the phrases ``marks``, over strings of one character for each word."""
     out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -157,11 +167,11 @@ def _cut(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataF
                     found = np.array([end - PHRASE + 1 for end, _ in machine.iter(coded)], dtype=np.int64)
                     starts = starts_in_reach(found, len(words), width)
                 if not len(starts):
-                    rows.append((0, None, None, None, doc_id, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None, None, None, None, None))
+                    rows.append((0, None, None, None, doc_id, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None, None, None, None, None, None))
                     continue
-                rows.append((1, None, key_id, key_hash, doc_id, None, None, text, None, None, None, None, None))
+                rows.append((1, None, key_id, key_hash, doc_id, None, None, text, None, None, None, None, None, None))
                 windows.append(window_hashes(hashes, width)[starts])
-                checks.append(window_hashes(hashes, width, FACTORS[1])[starts])
+                checks.append(window_hashes(hashes, width, FACTORS[1])[starts].astype("<u4"))
                 owner.append(np.full(len(starts), len(keys)))
                 at.append(starts)
                 keys.append((key_id, key_hash))
@@ -170,16 +180,20 @@ def _cut(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataF
                 ids, hashes = (np.array(x, dtype=np.int64) for x in zip(*keys))
                 gone = later(w, c, ids[o])
                 for i, h, m in by_document(s[gone].astype("<i4"), ids[o[gone]], hashes[o[gone]]):
-                    rows.append((3, None, i, h, None, None, None, None, None, None, None, None, m))
+                    rows.append((3, None, i, h, None, None, None, None, None, None, None, None, None, m))
                 w, c, o, s = w[~gone], c[~gone], o[~gone], s[~gone]
                 for shard, pick in by_shard(w, shards):
-                    rows.append((2, shard, None, None, None, None, None, None, w[pick].tobytes(), c[pick].tobytes(), ids[o[pick]].tobytes(), hashes[o[pick]].tobytes(), s[pick].astype("<i4").tobytes()))
+                    # Windows stand in the order of their documents, so each document is told once, with its count.
+                    first, length = runs(o[pick])
+                    owners = o[pick][first]
+                    rows.append((2, shard, None, None, None, None, None, None, w[pick].tobytes(), c[pick].tobytes(), ids[owners].tobytes(), hashes[owners].tobytes(), length.astype("<u4").tobytes(), packed_starts(s[pick])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], NAMES)
 
     def settle(table: pa.Table) -> pa.Table:
-        w, c, ids = unpack(table["windows"], "<u8"), unpack(table["checks"], "<u8"), unpack(table["ids"], "<i8")
-        hashes, starts = unpack(table["hashes"], "<i8"), unpack(table["starts"], "<i4")
+        w, c, counts = unpack(table["windows"], "<u8"), unpack(table["checks"], "<u4"), unpack(table["counts"], "<u4")
+        ids, hashes = (np.repeat(unpack(table[name], "<i8"), counts) for name in ("ids", "hashes"))
+        starts = np.concatenate([np.zeros(0, np.int32), *map(unpacked_starts, table["starts"].to_pylist())])
         gone = later(w, c, ids)
         rows = list(by_document(starts[gone], ids[gone], hashes[gone]))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], ["key_id", "key_hash", "starts"])
@@ -203,7 +217,7 @@ def _cut(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataF
     key = ["key_id", "key_hash"]
     stream = scratch.write(keyed.join(repeated, key, "left").mapInArrow(locate, ROWS), "stream")
     scratch.drop("repeated")
-    removed = stream.filter("kind = 3").select(*key, "starts").union(stream.filter("kind = 2").select("shard", "windows", "checks", "ids", "hashes", "starts").groupBy("shard").applyInArrow(settle, "key_id long, key_hash long, starts binary"))
+    removed = stream.filter("kind = 3").select(*key, "starts").union(stream.filter("kind = 2").select("shard", "windows", "checks", "ids", "hashes", "counts", "starts").groupBy("shard").applyInArrow(settle, "key_id long, key_hash long, starts binary"))
     removed = scratch.write(removed.groupBy(*key).agg(F.collect_list("starts").alias("starts")), "removed")
     pending = stream.filter("kind = 1").select(*key, "doc_id", "text").join(removed, key, "left")
     done = stream.filter("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")

@@ -76,3 +76,8 @@ def test_the_two_hashes_of_a_window_are_independent():
     one, two = (phrases.window_hashes(words, 13, f) for f in phrases.FACTORS)
     assert len(set(one.tolist())) == len(set(two.tolist())) == 7
     assert not set(one.tolist()) & set(two.tolist())
+
+
+@given(st.lists(st.integers(0, 2**31 - 1), max_size=50))
+def test_packed_starts_come_back(starts):
+    assert phrases.unpacked_starts(phrases.packed_starts(np.array(starts, dtype=np.int64))).tolist() == starts
