@@ -63,21 +63,3 @@ def test_every_window_holds_a_chosen_mark_and_equal_ones_the_same(words, among):
         assert inside
         seen.setdefault(tuple(words[k : k + among]), inside)
         assert seen[tuple(words[k : k + among])] & inside
-
-
-def test_windows_alike_in_one_hash_only_are_not_equal():
-    windows, checks, ids = (np.array(x) for x in ([5, 5, 5, 5], [1, 2, 1, 2], [3, 4, 9, 4]))
-    assert phrases.later(windows.astype(np.uint64), checks.astype(np.uint64), ids).tolist() == [False, False, True, False]
-    assert phrases.later(windows[:0].astype(np.uint64), checks[:0].astype(np.uint64), ids[:0]).tolist() == []
-
-
-def test_the_two_hashes_of_a_window_are_independent():
-    words = phrases.word_hashes([b"w%d" % (i % 7) for i in range(200)])
-    one, two = (phrases.window_hashes(words, 13, f) for f in phrases.FACTORS)
-    assert len(set(one.tolist())) == len(set(two.tolist())) == 7
-    assert not set(one.tolist()) & set(two.tolist())
-
-
-@given(st.lists(st.integers(0, 2**31 - 1), max_size=50))
-def test_packed_starts_come_back(starts):
-    assert phrases.unpacked_starts(phrases.packed_starts(np.array(starts, dtype=np.int64))).tolist() == starts
