@@ -117,7 +117,8 @@ def links(nodes: DataFrame, n: int, distance: int) -> DataFrame:
     homes = nodes.select("fp").mapInArrow(at_home, "anchor long, a long")
     visits = nodes.select("fp").mapInArrow(visiting, "anchor long, b long")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return homes.join(visits, "anchor").filter(near).select("a", "b")
+    # Spark takes the visits to be as large as the prints that make them, some fifty for each; as a broadcast they fill the driver.
+    return homes.join(visits.hint("merge"), "anchor").filter(near).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Scratch]:
@@ -135,7 +136,7 @@ def simhash_components(docs: DataFrame, distance: int = 2, id_col: str = "doc_id
     nodes = scratch.write(rows.groupBy("fp").agg(first), "nodes")
     found = scratch.write(links(nodes, nodes.count(), distance), "links")
     stars = scratch.write(connected_components(found, scratch), "stars")
-    rooted = scratch.write(nodes.join(stars, nodes.fp == stars.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
+    rooted = scratch.write(nodes.join(stars.hint("merge"), nodes.fp == stars.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
     least = scratch.write(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
     named = scratch.write(rooted.join(least, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keeper")), "named")
     return rows.join(named, "fp"), scratch

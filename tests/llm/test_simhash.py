@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyspark.llm import simhash
-from tallyspark.llm.components import connected_components
+from tallyspark.llm.components import _large_star, _small_star, connected_components
 from tallyspark.llm.scratch import Scratch
 
 
@@ -94,3 +95,11 @@ def test_components_of_chains_stars_and_cycles(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "cc")).collect()
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     assert {r.node: r.root for r in got} == components(nodes, [e for e in edges if e[0] != e[1]])
+
+
+def test_visits_are_never_broadcast(spark):
+    scratch = Scratch(spark, "test")
+    nodes = scratch.write(spark.range(300).select(F.xxhash64("id").alias("fp")), "nodes")
+    edges = scratch.write(spark.range(50).select(F.col("id").alias("lo"), (F.col("id") + 1).alias("hi")), "edges")
+    for plan in (simhash.links(nodes, 300, 2), _large_star(edges), _small_star(edges)):
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
