@@ -31,6 +31,26 @@ def unicode_fold(text: Column, form: str = "NFC", casefold: bool = False) -> Col
     return _folder(form, casefold)(text)
 
 
+@cache
+def _list_folder(form: str):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        if pc.all(pc.string_is_ascii(flat)).as_py() in (True, None):
+            return lists
+        return pa.array([None if one is None else [s if s is None or s.isascii() else unicodedata.normalize(form, s) for s in one] for one in lists.to_pylist()], lists.type)
+
+    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<string>")
+
+
+def unicode_fold_all(texts: Column, form: str = "NFC") -> Column:
+    """An array of texts, each in a Unicode normal form; batches of ASCII pass as they are."""
+    return _list_folder(form)(texts)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is evaluated once however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import apply_rule, gold_rate
+from ..functions.normalize import gold_rate
 from ..functions.unicode import strip
 from . import structuring
-from .recovering import flat_fields
 
 #: Fields whose answer is left out of the score where no channel could find it on the page.
 NEUTRAL = ["payment_means_text"]
@@ -24,15 +23,13 @@ def from_json(docs: DataFrame, json: str, id_col: str, nfc: bool = True) -> Data
     """
     whole = F.col(json)
     inner = F.coalesce(F.get_json_object(whole, "$.fields"), whole)
-    found = flat_fields(inner, structuring.KEYS)
-    cells = []
-    for key in structuring.KEYS:
-        raw = F.try_element_at(found, F.lit(key))
-        neutral = F.coalesce(F.get_json_object(whole, f"$.provenance.{key}.escalated_as") == UNLOCATED, F.lit(False)) if key in NEUTRAL else F.lit(False)
-        cells.append(F.struct(F.lit(key).alias("field_key"), F.lit(structuring.RULES[key]).alias("rule"), F.when(strip(raw) != "", raw).alias("gt_raw"), neutral.alias("neutral")))
-    long = docs.select(id_col, F.explode(F.array(*cells)).alias("c")).select(id_col, "c.*")
-    norm = apply_rule(F.col("rule"), F.col("gt_raw"), nfc)
-    return long.select(id_col, "field_key", F.col("gt_raw").isNotNull().alias("gt_present"), "gt_raw", F.when(~F.col("neutral"), norm).alias("gt_norm"))
+    written = F.transform(structuring.field_texts(inner), lambda raw: F.when(strip(raw) != "", raw))
+    unlocated = lambda key: F.coalesce(F.get_json_object(whole, f"$.provenance.{key}.escalated_as") == UNLOCATED, F.lit(False))
+    neutral = F.array_compact(F.array(*(F.when(unlocated(key), F.lit(key)) for key in NEUTRAL)))
+    held = docs.select(F.struct(F.col(id_col).alias("id"), neutral.alias("neutral")).alias("of"), written.alias("texts"))
+    cells = structuring.read_cells(held, F.col("texts"), structuring.KEYS, structuring.RULES, ["of"], nfc)
+    norm = F.when(~F.array_contains("of.neutral", F.col("field_key")), F.col("pred_norm"))
+    return cells.select(F.col("of.id").alias(id_col), "field_key", F.col("pred_raw").isNotNull().alias("gt_present"), F.col("pred_raw").alias("gt_raw"), norm.alias("gt_norm"))
 
 
 def rows_from_json(docs: DataFrame, json: str, id_col: str, group: str, nfc: bool = True) -> DataFrame:

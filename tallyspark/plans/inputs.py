@@ -21,6 +21,13 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
+def spread(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """``frame`` with its tables dealt out evenly, for work per row that the few splits of a small file cannot share."""
+    names = set(re.findall(r"\{(\w+)\}", sql))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return spark.sql(sql, **{x: table(spark, sf_dir, x).repartition(n) for x in names})
+
+
 def duck(sql: str) -> str:
     """Shared SQL as DuckDB reads it."""
     return re.sub(r"\{(\w+)\}", r"\1", sql)
