@@ -72,7 +72,7 @@ def structurer_groups(spark, sf_dir):
 
 @query(f"WITH j AS ({duck(_JSON)}) SELECT customer, concat('RE-', CAST(min(doc_id) AS VARCHAR)) AS invoice_number, arg_min(rate, doc_id) AS tax_rate FROM (SELECT customer, doc_id, {_RATE} AS rate FROM j) GROUP BY 1")
 def structurer_pages_merge(spark, sf_dir):
-    merged = structuring.parsed_pages(spread(spark, sf_dir, _JSON), "fields", ["customer"], "doc_id")
+    merged = structuring.parsed_pages(spread(spark, sf_dir, _JSON), "fields", ["customer"], "doc_id").filter(F.col("field_key").isin("invoice_number", "tax_rate"))
     return merged.groupBy("customer").agg(F.max(F.when(F.col("field_key") == "invoice_number", F.col("pred_norm"))).alias("invoice_number"), F.max(F.when(F.col("field_key") == "tax_rate", F.col("pred_norm"))).alias("tax_rate"))
 
 
