@@ -131,6 +131,7 @@ def simhash_components(docs: DataFrame, distance: int = 2, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
+    # Merge joins: a table with a row for each print or component may pass as small by its packed files, and fill the driver as a broadcast.
     rows = scratch.write(fingerprints(docs, id_col, text_col), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     nodes = scratch.write(rows.groupBy("fp").agg(first), "nodes")
@@ -138,8 +139,8 @@ def simhash_components(docs: DataFrame, distance: int = 2, id_col: str = "doc_id
     stars = scratch.write(connected_components(found, scratch), "stars")
     rooted = scratch.write(nodes.join(stars.hint("merge"), nodes.fp == stars.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
     least = scratch.write(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
-    named = scratch.write(rooted.join(least, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keeper")), "named")
-    return rows.join(named, "fp"), scratch
+    named = scratch.write(rooted.join(least.hint("merge"), "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keeper")), "named")
+    return rows.join(named.hint("merge"), "fp"), scratch
 
 
 def simhash_near_duplicates(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,7 +159,7 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 2, id_col: str = "doc_
     kept, (of, ours, n) = keepers.distinct(), fresh(docs, "of", "ours", "n")
     kept = kept.withColumnRenamed("of", of)
     name = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row"))
-    held = docs.withColumn(ours, name).join(kept, F.col(ours) == F.col(of), "left_semi")
+    held = docs.withColumn(ours, name).join(kept.hint("merge"), F.col(ours) == F.col(of), "left_semi")
     if keepers.count() > kept.count():  # rows repeated whole, id and text
         held = held.withColumn(n, F.row_number().over(Window.partitionBy(ours).orderBy(F.lit(0)))).filter(F.col(n) == 1).drop(n)
     return held.drop(ours)

@@ -103,3 +103,12 @@ def test_visits_are_never_broadcast(spark):
     edges = scratch.write(spark.range(50).select(F.col("id").alias("lo"), (F.col("id") + 1).alias("hi")), "edges")
     for plan in (simhash.links(nodes, 300, 2), _large_star(edges), _small_star(edges)):
         assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_table_of_components_or_keepers_is_broadcast(spark, docs, monkeypatch):
+    made, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, **options: made.append(df) or write(self, df, name, **options))
+    made.append(simhash.drop_near_duplicates(docs))
+    assert len(made) > 6
+    for df in made:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
