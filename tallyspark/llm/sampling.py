@@ -11,7 +11,7 @@ values are a sample of ``k`` distinct segmentations without replacement. The sea
 that a path has passed, the largest perturbed value among the paths that leave it by another edge: drawn
 as a Gumbel variable truncated at the value of the path, from the mass of those edges, so that no path is
 spelled out before it is wanted. The node of the largest value is taken next, the path branches there and
-goes on to the end. All texts of a batch take each step together. The value after the k-th is the
+goes on to the end. Many texts take each step together. The value after the k-th is the
 threshold by which a segmentation's inclusion is scored.
 
 Draws are hashes of the row's key, the sample, the word and the step: a row has the same samples wherever
@@ -42,6 +42,10 @@ NEVER = -1e8
 GAP = "▁"
 #: Texts that share the lattices of their words.
 BATCH = 1800
+#: Words whose lattices are built together, few enough for their arrays to stay in a processor's cache.
+WORDS = 8192
+#: Texts that take their steps together, for the same reason.
+TOGETHER = 150
 
 
 class Vocabulary:
@@ -76,7 +80,7 @@ class Vocabulary:
         self.roots = np.full(0x110000, -1, dtype=np.int64)  # the step from node 0
         first = self.keys < 1 << 21
         self.roots[self.keys[first]] = self.to[first]
-        self.spelled = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(GAP, " ").encode() for i in range(size) for p in [sp.id_to_piece(i)]]
+        self.spelled = pa.array([bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(GAP, " ").encode() for i in range(size) for p in [sp.id_to_piece(i)]], pa.large_binary())
         self.pairs = {p[k : k + 2] for i in plain for p in [sp.id_to_piece(i)] for k in range(len(p) - 1)}
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int64)
 
@@ -87,13 +91,15 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.to[at], -1)
 
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text that ``ids`` spell, without the blank that the model sets before it."""
-        return b"".join(map(self.spelled.__getitem__, ids)).decode(errors="replace").removeprefix(" ")
+        _, offsets, data = self.spelled.take(pa.array(ids)).buffers()
+        end = int(np.frombuffer(offsets, np.int64, len(ids) + 1)[-1])
+        return str(memoryview(data)[:end] if end else b"", "utf-8", "replace").removeprefix(" ")
 
-    def round_trip(self, ids: list[int], text: str) -> bool:
+    def round_trip(self, ids: np.ndarray, text: str) -> bool:
         """Whether ``ids`` decode to ``text``; where the plain spelling differs, the library decides."""
-        return self.decode(ids) == text or self.model.decode(ids) == text
+        return self.decode(ids) == text or self.model.decode(ids.tolist()) == text
 
 
 @functools.lru_cache(maxsize=2)
@@ -108,6 +114,32 @@ class Lattice:
     ``after`` is the node that an edge leads to, or -1 at the end of the word.
     """
 
+    def __init__(self, vocab: Vocabulary, words: list[str]):
+        some = [_Some(vocab, words[k : k + WORDS]) for k in range(0, max(len(words), 1), WORDS)]
+        nodes, edges = (np.cumsum([0, *(len(x) for x in own)]) for own in ([x.count for x in some], [x.piece for x in some]))
+        for x, node, edge in zip(some, nodes.tolist(), edges.tolist()):
+            x.start += node
+            x.first += edge
+            x.source += node
+            x.after[x.after >= 0] += node
+        for name in ("start", "count", "first", "source", "piece", "after", "logp", "share", "rest"):
+            setattr(self, name, np.concatenate([x.__dict__.pop(name) for x in some]))
+
+    def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge of each node, by its share; a node's edges are few, and gone through in order."""
+        edge, last = self.first[node], self.first[node] + self.count[node] - 1
+        u = u - self.share[edge]
+        (more,) = np.nonzero((u >= 0) & (edge < last))
+        while len(more):
+            edge[more] += 1
+            u[more] -= self.share[edge[more]]
+            more = more[(u[more] >= 0) & (edge[more] < last[more])]
+        return edge
+
+
+class _Some:
+    """The lattices of some words, nodes and edges numbered from 0."""
+
     def __init__(self, vocab: Vocabulary, words: list[str]):
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -174,17 +206,7 @@ class Lattice:
                 near = self.logp > -0.5
                 self.rest[near] = np.log(np.add.reduceat(others, self.first)[self.source])[near]
         self.rest[self.count[self.source] == 1] = -np.inf
-
-    def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge of each node, by its share; a node's edges are few, and gone through in order."""
-        edge, last = self.first[node], self.first[node] + self.count[node] - 1
-        u = u - self.share[edge]
-        (more,) = np.nonzero((u >= 0) & (edge < last))
-        while len(more):
-            edge[more] += 1
-            u[more] -= self.share[edge[more]]
-            more = more[(u[more] >= 0) & (edge[more] < last[more])]
-        return edge
+        self.source, self.piece, self.after = (x.astype(np.int32) for x in (self.source, self.piece, self.after))
 
 
 def uniform(seed: np.ndarray) -> np.ndarray:
@@ -246,27 +268,24 @@ def _truncated(mass: np.ndarray, at_most: np.ndarray, u: np.ndarray) -> np.ndarr
 
 
 def _go_on(lattice: Lattice, text, word, node, seed, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Draw edges from each node on to the end of its word; ``(text, word, edge)`` in order."""
-    texts, words, edges, rounds = [], [], [], []
+    """Draw edges from each node on to the end of its word; ``(text, word, edge)`` in order, as texts and words are."""
+    taken, lengths = [], np.zeros(len(node), dtype=np.int64)
     step = 0
     alive = np.arange(len(node))
     while len(alive):
         u = uniform(seed[alive] ^ mix(np.full(1, sample << 32 | step, dtype=np.uint64)))
         edge = lattice.draw(node[alive], u)
-        texts.append(text[alive])
-        words.append(word[alive])
-        edges.append(edge)
-        rounds.append(np.full(len(alive), step))
+        taken.append((alive, edge))
+        lengths[alive] += 1
         node = node.copy() if step == 0 else node
         node[alive] = lattice.after[edge]
         alive = alive[node[alive] >= 0]
         step += 1
-    if not texts:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    texts, words, edges, rounds = (np.concatenate(x) for x in (texts, words, edges, rounds))
-    order = np.lexsort((rounds, words, texts))
-    return texts[order], words[order], edges[order]
+    first = np.cumsum(lengths) - lengths
+    edges = np.empty(int(lengths.sum()), dtype=np.int64)
+    for step, (alive, edge) in enumerate(taken):
+        edges[first[alive] + step] = edge
+    return np.repeat(text, lengths), np.repeat(word, lengths), edges
 
 
 def _mass_left(lattice: Lattice, edges: list[int]) -> float:
@@ -283,9 +302,17 @@ def sample_batch(vocab: Vocabulary, texts: list[str], seeds: np.ndarray, k: int)
     """For each text up to ``k`` distinct ``(ids, log-probability, perturbed value, log of inclusion)``."""
     parts = _Parts(vocab)
     slots = parts.of([vocab.model.normalize(text) if text else "" for text in texts])
-    slot, text_of = np.concatenate([np.zeros(0, np.int64), *slots]), np.repeat(np.arange(len(texts)), [len(x) for x in slots])
     lattice = Lattice(vocab, list(parts.known))
-    n = len(texts)
+    out = []
+    for a in range(0, len(texts), TOGETHER):
+        out += _sample_some(vocab, lattice, slots[a : a + TOGETHER], seeds[a : a + TOGETHER], k)
+    return out
+
+
+def _sample_some(vocab: Vocabulary, lattice: Lattice, slots: list[np.ndarray], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """``sample_batch`` for texts of the words ``slots`` of ``lattice``."""
+    n = len(slots)
+    slot, text_of = np.concatenate([np.zeros(0, np.int64), *slots]), np.repeat(np.arange(n), [len(x) for x in slots])
     first_word = np.searchsorted(text_of, np.arange(n + 1))
     ordinal = np.arange(len(slot)) - first_word[text_of]
     word_seed = mix(seeds[text_of] + (ordinal.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
@@ -364,6 +391,8 @@ def _words(normal: str) -> list[str]:
 
 def _ids(vocab: Vocabulary, pieces: np.ndarray) -> np.ndarray:
     """The ids of pieces; a negative one stands for a character spelled in bytes."""
+    if not len(pieces) or pieces.min() >= 0:
+        return pieces
     low = (pieces < 0) & (pieces >= -128)
     if low.any():
         pieces = np.where(low, vocab.byte_ids[np.where(low, -1 - pieces, 0)], pieces)
@@ -400,8 +429,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float =
             columns = [[] for _ in range(9)]
             for doc_id, text, rows in zip(ids, texts, sample_batch(vocab, texts, seeds, k)):
                 for sample, (piece_ids, logp, perturbed, inclusion) in enumerate(rows):
-                    listed = piece_ids.tolist()
-                    values = doc_id, sample, len(listed), zlib.crc32(piece_ids.astype("<u4").tobytes()), logp, perturbed, inclusion, vocab.round_trip(listed, text), listed if with_ids else None
+                    values = doc_id, sample, len(piece_ids), zlib.crc32(piece_ids.astype("<u4")), logp, perturbed, inclusion, vocab.round_trip(piece_ids, text), piece_ids if with_ids else None
                     for column, value in zip(columns, values):
                         column.append(value)
             kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())

@@ -94,3 +94,14 @@ def test_hard_cases(spark, docs, no_docs):
         by.setdefault((r.doc_id, model.decode(r.ids)), set()).add(tuple(r.ids))
     assert all(len(v) == 2 for (i, t), v in by.items() if i is not None and len(texts()[i] or "") > 5 and i != 5)
     assert sampling.sample_segmentations(no_docs, MODEL).count() == 0
+
+
+def test_shares_of_words_and_texts_change_nothing(monkeypatch):
+    vocab = sampling.vocabulary(MODEL, 1.0)
+    given = [t or "" for t in texts()]
+    plain = lambda batch: [[(r[0].tolist(), *r[1:]) for r in rows] for rows in batch]
+    whole = plain(sampling.sample_batch(vocab, given, seeds(len(given)), 2))
+    monkeypatch.setattr(sampling, "WORDS", 5)
+    monkeypatch.setattr(sampling, "TOGETHER", 2)
+    assert plain(sampling.sample_batch(vocab, given, seeds(len(given)), 2)) == whole
+    assert all(vocab.round_trip(np.array(ids, dtype=np.int64), t) == (vocab.model.decode(ids) == t) for t, rows in zip(given, whole) for ids, *_ in rows)
