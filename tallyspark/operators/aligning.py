@@ -54,19 +54,71 @@ def align_rows(pred: DataFrame, gold: DataFrame, threshold: float = 0.5, nfc: bo
     return pairs.unionByName(lone_i).unionByName(lone_j)
 
 
+def _gathered(cells: DataFrame, row: str, *of: str) -> DataFrame:
+    """One row for each document and group, with ``{row}_rows``: its rows, each a struct of number and ``cells``."""
+    named = cells.filter(F.col("doc_id").isNotNull() & F.col("row_group").isNotNull() & F.col(row).isNotNull())
+    flat = named.groupBy(*PLACE).agg(F.collect_list(F.struct(F.col(row).cast("int").alias("at"), *of)).alias("flat"))
+    numbers = F.array_distinct(F.transform("flat", lambda c: c["at"]))
+    rows = F.transform(numbers, lambda n: F.struct(n.alias("at"), F.filter("flat", lambda c: c["at"] == n).alias("cells")))
+    return flat.select(*PLACE, rows.alias(f"{row}_rows"))
+
+
+def _similar(said: Column, stored: Column, threshold: float) -> Column:
+    """The pairs of ``row_similarity`` within one document and group, best first."""
+
+    def hit(p: Column, g: Column) -> Column:
+        alike = nls(p.pred_norm, g.gt_norm)
+        near = alike >= threshold if threshold > 0 else alike > 0
+        return (p.field_key == g.field_key) & F.when(g.field_type == "STRING", near).otherwise(p.pred_norm == g.gt_norm)
+
+    def pair(p: Column, g: Column) -> Column:
+        hits = F.aggregate(p.cells, F.lit(0), lambda n, c: n + F.size(F.filter(g.cells, lambda x: hit(c, x))))
+        return F.struct((-hits / F.size(g.cells)).alias("s"), p["at"].alias("i"), g["at"].alias("j"))
+
+    gradable = F.transform(stored, lambda g: F.struct(g["at"].alias("at"), F.filter(g.cells, lambda c: c.gt_present & (c.gt_norm != "")).alias("cells")))
+    against = F.filter(gradable, lambda g: F.size(g.cells) > 0)
+    pairs = F.flatten(F.transform(said, lambda p: F.transform(against, lambda g: pair(p, g))))
+    return F.array_sort(F.filter(pairs, lambda x: x.s < 0))
+
+
 def aligned_cells(pred: DataFrame, gold: DataFrame, threshold: float = 0.5, nfc: bool = True) -> DataFrame:
-    """Judged cells of all aligned rows: a row without a partner meets cells that are absent, or said nothing of."""
-    rows = align_rows(pred, gold, threshold, nfc)
-    said = rows.filter("i IS NOT NULL").join(pred, [*PLACE, "i"])
-    stored = rows.filter("j IS NOT NULL").join(gold, [*PLACE, "j"])
+    """Judged cells of all aligned rows: a row without a partner meets cells that are absent, or said nothing of.
+
+    Each side is gathered once, and rows are paired within a document's row, so no cell is shuffled or read
+    twice; sides that come dealt by ``doc_id`` are not shuffled at all.
+    """
+    said = _gathered(pred.withColumn("pred_norm", apply_rule(F.col("rule"), F.col("pred_raw"), nfc)), "i", "field_key", "field_type", "rule", "pred_raw", "pred_norm")
+    stored = _gathered(gold, "j", "field_key", "field_type", "rule", "gt_present", "gt_norm")
+    met = said.join(stored.hint("merge"), PLACE, "full_outer").withColumns({x: F.coalesce(x, F.array()) for x in ("i_rows", "j_rows")})
+    met = met.withColumn("pairs", _fold(_similar(F.col("i_rows"), F.col("j_rows"), threshold)))
+
     # The row of an aligned pair has one name on both sides: i where there is one, else that of j.
-    name = F.coalesce(F.concat(F.lit("p"), "i"), F.concat(F.lit("g"), "j"))
-    left = said.select(*PLACE, name.alias("row"), "field_key", "field_type", "rule", "pred_raw")
-    right = stored.select(*PLACE, name.alias("row"), "field_key", F.col("field_type").alias("t"), F.col("rule").alias("r"), "gt_present", "gt_norm")
-    cells = left.join(right, [*PLACE, "row", "field_key"], "full_outer").withColumns(
-        {"field_type": F.coalesce("field_type", "t"), "rule": F.coalesce("rule", "r"), "gt_present": F.coalesce("gt_present", F.lit(False))}
+    cells_of = lambda rows, n: F.get(F.filter(rows, lambda r: r["at"] == n), F.lit(0)).cells
+    row = lambda mark, n, p, g: F.struct(F.concat(F.lit(mark), n).alias("row"), p.alias("p"), g.alias("g"))
+    no_p, no_g = (F.slice(F.flatten(F.transform(x, lambda r: r.cells)), 1, 0) for x in ("i_rows", "j_rows"))
+    aligned = F.concat(
+        F.transform("pairs", lambda x: row("p", x.i, cells_of(F.col("i_rows"), x.i), cells_of(F.col("j_rows"), x.j))),
+        F.transform(F.filter("i_rows", lambda r: ~F.exists("pairs", lambda x: x.i == r["at"])), lambda r: row("p", r["at"], r.cells, no_g)),
+        F.transform(F.filter("j_rows", lambda r: ~F.exists("pairs", lambda x: x.j == r["at"])), lambda r: row("g", r["at"], no_p, r.cells)),
+    )
+    rows = met.select(*PLACE, F.inline(aligned))
+    # Cells that both rows have, then those of one of them.
+    has = lambda cells, c: F.exists(cells, lambda x: F.coalesce(x.field_key == c.field_key, F.lit(False)))
+    nothing = lambda x: F.get(x, F.lit(-1))
+    both = lambda p, g: F.struct(p.alias("p"), g.alias("g"))
+    cells = F.concat(
+        F.flatten(F.transform("p", lambda p: F.transform(F.filter("g", lambda g: p.field_key == g.field_key), lambda g: both(p, g)))),
+        F.transform(F.filter("p", lambda p: ~has("g", p)), lambda p: both(p, nothing(F.col("g")))),
+        F.transform(F.filter("g", lambda g: ~has("p", g)), lambda g: both(nothing(F.col("p")), g)),
     )
-    read = cells.drop("t", "r").withColumn("pred_norm", apply_rule(F.col("rule"), F.col("pred_raw"), nfc))
+    found = rows.select(*PLACE, "row", F.inline(cells))
+    rule = F.coalesce("p.rule", "g.rule")
+    read = found.select(
+        *PLACE, "row", F.coalesce("p.field_key", "g.field_key").alias("field_key"), F.coalesce("p.field_type", "g.field_type").alias("field_type"), rule.alias("rule"), F.col("p.pred_raw").alias("pred_raw"),
+        F.coalesce("g.gt_present", F.lit(False)).alias("gt_present"), F.col("g.gt_norm").alias("gt_norm"),
+        # A cell said without a rule is read by that of the stored one.
+        F.when(F.col("p.rule").isNull() & F.col("p.pred_raw").isNotNull(), apply_rule(rule, F.col("p.pred_raw"), nfc)).otherwise(F.col("p.pred_norm")).alias("pred_norm"),
+    )
     read = read.withColumn("nls", F.when((F.col("field_type") == "STRING") & (F.col("gt_norm") != ""), nls(F.col("pred_norm"), F.col("gt_norm"))))
     return judge(read, threshold)
 

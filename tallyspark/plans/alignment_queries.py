@@ -8,13 +8,19 @@ from ..operators import aligning
 from .catalog import query
 from .inputs import duck, f1_sql, frame
 
+_PLACE = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate)"
+_LINE = "l_linenumber, concat('part-', CAST(l_partkey AS STRING)) AS name, CAST(ROUND(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS quantity"
+
 #: Stored rows: the lines of an order, numbered from 0, with amounts in cents.
-LINES = """
-SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS INT) AS j,
-       l_linenumber, concat('part-', CAST(l_partkey AS STRING)) AS name, CAST(ROUND(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS quantity
-FROM {lineitem}
+LINES = f"""
+SELECT l_orderkey AS doc_id, CAST({_PLACE} - 1 AS INT) AS j,
+       {_LINE}
+FROM {{lineitem}}
 """
 
+#: The same, with nothing computed before the window, so that Spark still knows its result as dealt by ``doc_id``.
+DEALT = f"SELECT l_orderkey AS doc_id, CAST(place - 1 AS INT) AS j, {_LINE} FROM (SELECT *, {_PLACE} AS place FROM {{lineitem}})"
+
 #: Predicted rows: every 4th is missing, every 9th comes twice, every 5th has another amount.
 SAID = """
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY j, copy) - 1 AS INT) AS i, name, quantity, cents + CASE WHEN (doc_id + j) % 5 = 0 THEN 1 ELSE 0 END AS cents
@@ -22,10 +28,19 @@ FROM (SELECT * FROM lines WHERE (doc_id + j) % 4 <> 0) l JOIN (SELECT 0 AS copy
 """
 
 
-def _long(table: str, row: str, columns: str) -> str:
+def _parts() -> tuple[tuple[str, str, str], ...]:
     amount = "concat(CAST(CAST(FLOOR(cents / 100) AS BIGINT) AS STRING), '.', lpad(CAST(cents % 100 AS STRING), 2, '0'))"
-    parts = (("name", "STRING", "name"), ("quantity", "MONEY", "concat(CAST(quantity AS STRING), '.00')"), ("line_amount", "MONEY", amount))
-    return " UNION ALL ".join(f"SELECT doc_id, 'line_items' AS row_group, {row}, '{k}' AS field_key, '{t}' AS field_type, '{t}' AS rule, {columns.format(v=v)} FROM {table}" for k, t, v in parts)
+    return (("name", "STRING", "name"), ("quantity", "MONEY", "concat(CAST(quantity AS STRING), '.00')"), ("line_amount", "MONEY", amount))
+
+
+def _long(table: str, row: str, columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, 'line_items' AS row_group, {row}, '{k}' AS field_key, '{t}' AS field_type, '{t}' AS rule, {columns.format(v=v)} FROM {table}" for k, t, v in _parts())
+
+
+def _at_once(table: str, row: str, columns: str) -> str:
+    """The rows of ``_long``, from one pass over ``table``, in Spark's SQL."""
+    cells = ", ".join(f"named_struct('field_key', '{k}', 'field_type', '{t}', 'rule', '{t}', {columns.format(v=v)})" for k, t, v in _parts())
+    return f"SELECT doc_id, 'line_items' AS row_group, {row}, inline(array({cells})) FROM {table}"
 
 
 GOLD = f"WITH lines AS ({LINES}) {_long('lines', 'j', 'true AS gt_present, {v} AS gt_norm')}"
@@ -68,4 +83,6 @@ scored AS (SELECT k.doc_id, CASE WHEN gt_norm IS NULL THEN CASE WHEN pred_raw IS
 
 @query(f"WITH {_ALIGNED} SELECT *, {f1_sql()} FROM (SELECT doc_id, count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FP') AS fp, count(*) FILTER (outcome = 'FN') AS fn FROM scored GROUP BY 1)")
 def group_f1(spark, sf_dir):
-    return aligning.group_scores(aligning.aligned_cells(*_inputs(spark, sf_dir), 0.5, nfc=False), "doc_id")
+    gold = frame(spark, sf_dir, f"WITH lines AS ({DEALT}) {_at_once('lines', 'j', "'gt_present', true, 'gt_norm', {v}")}")
+    pred = frame(spark, sf_dir, f"WITH lines AS ({DEALT}), said AS ({SAID}) {_at_once('said', 'i', "'pred_raw', {v}")}")
+    return aligning.group_scores(aligning.aligned_cells(pred, gold, 0.5, nfc=False), "doc_id")
